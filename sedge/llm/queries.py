@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_mix_sources": mixing.op9_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op8_decontaminate": decontaminate.sql()}
