@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE, SHINGLE = 13, 3
 
 
@@ -67,11 +68,11 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
     def placed() -> DataFrame:
         out = None
         for j in lengths:
-            x = parsed.select("_k", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), j)).alias("p", "h"))
+            x = parsed.select("_k", F.posexplode(_shingles(F.col("w"), j)).alias("p", "h"))
             out = x if out is None else out.unionByName(x)
         return out
 
-    base = docs.select(*rest, key).withColumn("n_words", F.size(words(F.col(text_col))).cast("long"))
+    base = docs.select(*rest, key).withColumn("n_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
         return base.select(*rest, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
@@ -90,11 +91,11 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
     prefix = common.sized_broadcast(common.materialize(prefix, "decon-prefix"))
     # Pass two: only prefix shingles join; positional and length bounds.
     start = (F.col("p") - F.col("o")).alias("s")
-    cand = placed().join(prefix, "h").select("_k", "n", start, "len", "window").where("s >= 0 and s + len <= n")
+    cand = placed().join(prefix, "h").select("_k", start, "len", "window").where("s >= 0")
     cand = common.materialize(cand.groupBy("_k").agg(F.collect_set(F.struct("s", "len", "window")).alias("cand")), "decon-candidates")
     ids = common.sized_broadcast(cand.select("_k"))
     texts = parsed.join(ids, "_k", "left_semi").dropDuplicates(["_k"])
-    found = F.filter("cand", lambda c: F.array_join(F.slice(F.col("w"), c["s"] + 1, c["len"]), " ") == c["window"])
+    found = F.filter("cand", lambda c: (c["s"] + c["len"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), c["s"] + 1, c["len"]), " ") == c["window"]))
     found = texts.join(cand, "_k").select("_k", found.alias("found")).where(F.size("found") > 0)
     spans = F.array_sort(F.transform("found", lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"]).alias("e"))))
     cover = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["e"]))).alias("n"), F.greatest(a["e"], x["e"]).alias("e")))["n"]

@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing
+from . import decontaminate, exact_dedup, language_id, license_scan, minhash, mixing, pii, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_exact_dedup": exact_dedup.op4_exact_dedup, "op8_decontaminate": decontaminate.op8_decontaminate, "op9_mix_sources": mixing.op9_mix_sources}
+    return {
+        "op1_minhash_dedup": minhash.op1_minhash_dedup,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_pii": pii.op6_pii,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op8_decontaminate": decontaminate.sql()}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license_scan.sql(), "op8_decontaminate": decontaminate.sql()}
