@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, license_scan, minhash, mixing, pii, url_filter
+from . import decontaminate, exact_dedup, language_id, license_scan, minhash, mixing, pii, recompression, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": minhash.op1_minhash_dedup,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_recompression_dedup": recompression.op3_recompression_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op6_pii": pii.op6_pii,
