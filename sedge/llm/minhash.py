@@ -5,11 +5,13 @@ MANTISSA bits after them, 16 bits in all. Empty registers of short texts borrow
 same for all texts. BANDS bands of ROWS compressed registers give candidates. A candidate's Jaccard estimate, corrected
 for chance collisions of registers, must come within six standard deviations of the threshold; then full sets decide.
 
-Texts with equal shingle sets are one class with one representative, so copies never meet in a band. A bucket of at most
-SMALL classes gives its pairs; a larger one is worked in rounds: some centres (first the one that shares most buckets,
-then ever more, picked by hash) are held against all members of other components, and leave the bucket. A bucket is done
-when its members are one component or all have been centres. So each link between different components is tried, and a
-large group of near copies costs about one comparison a member.
+Texts with equal shingle sets are one class with one representative, so copies never meet in a band. Where more than
+CROWD classes share a bucket, its members meet in their rarest shingles instead (_company), which tells apart copies that
+were edited too much from those that were not. A bucket of at most SMALL classes gives its pairs; a larger one is worked
+in rounds: some centres (first the least edited, then ever more, picked by hash) are held against the members of other
+components that they can be linked with, and leave the bucket. A bucket is done when its members are one component or
+all have been centres. So each link between different components is tried, and a large group of near copies costs a few
+comparisons a member.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SHINGLE, BANDS, ROWS, MANTISSA, SMALL = 5, 24, 4, 10, 16
+SHINGLE, BANDS, ROWS, MANTISSA, SMALL, CROWD, GROW = 5, 24, 4, 10, 16, 4, 8
 REGISTERS = BANDS * ROWS
 
 
@@ -204,51 +206,91 @@ def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = common.materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lsh-buckets")
     live = common.materialize(bands.join(common.sized_broadcast(shared), "key"), "lsh-members")
     ids = live.select("rep").distinct()
-    central = common.materialize(live.groupBy("rep").agg(F.sum("size").alias("central")), "lsh-central")
     texts = docs.select(F.col("doc").alias("rep"), "text").join(common.sized_broadcast(ids), "rep", "left_semi")
     sets = common.materialize(texts.mapInArrow(_sets, "rep long, items array<bigint>").dropDuplicates(["rep"]), "lsh-sets")
 
+    live = _company(live, sets, percent)
+
     # Pairs of small buckets, each with at most SMALL members.
-    small = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
-    pairs = small.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("b"))
-    big = common.materialize(live.where(F.col("size") > SMALL).join(common.sized_broadcast(central), "rep"), "lsh-big")
+    small = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "s", "own"))).alias("m"))
+    pairs = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
+    pairs = pairs.where(_possible(F.col("x.s"), F.col("x.own"), F.col("y.s"), F.col("y.own"), percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    big = common.materialize(live.where(F.col("size") > SMALL), "lsh-big")
     left = big.count()
-    first = big.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("c"))
-    first = common.materialize(first, "lsh-centres")
-    pairs = pairs.union(_against(first, big.select("key", "rep")))
+    first = common.materialize(big.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("m")).select("key", F.col("m.rep").alias("rep")), "lsh-centres")
+    pairs = pairs.union(_against(first, big.withColumn("label", F.col("rep")), percent))
     links = common.materialize(_verify(common.materialize(pairs.distinct(), "lsh-pairs"), reps, sets, percent), "lsh-links")
-    labels = components(links)
-    big = big.select("key", "rep", "size")
-    tried, t = first.toDF("key", "rep"), 0
+    labels = components(links).toDF("rep", "label")
+    tried, t = first, 0
     while left:
         t += 1
-        here = big.join(common.sized_broadcast(tried), ["key", "rep"], "left_anti")
-        here = here.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("key", "rep", "size", "label")
-        here = common.materialize(here, "lsh-here")
+        here = big.join(common.sized_broadcast(tried), ["key", "rep"], "left_anti").join(labels, "rep", "left")
+        here = common.materialize(here.withColumn("label", F.coalesce("label", "rep")).select("key", "rep", "size", "s", "own", "label"), "lsh-here")
         # A bucket whose tried members are gone is done once the others are one component.
         open_ = common.materialize(here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "lsh-open")
-        big = common.materialize(here.join(common.sized_broadcast(open_), "key", "left_semi"), "lsh-left")
-        left = big.count()
+        here = common.materialize(here.join(common.sized_broadcast(open_), "key", "left_semi"), "lsh-left")
+        big, left = here.drop("label"), here.count()
         if not left:
             break
-        tried = common.materialize(big.where(F.pmod(F.xxhash64("rep", "key", F.lit(t)), F.col("size")) < 4**t).select("key", "rep"), "lsh-centres")
-        side = common.sized_broadcast(big.select("key", F.col("rep").alias("c"), F.col("label").alias("lc")).join(tried.toDF("key", "c"), ["key", "c"]))
-        pairs = big.join(side, "key").where("label <> lc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        more = common.materialize(_verify(common.materialize(pairs, "lsh-pairs"), reps, sets, percent), "lsh-links")
-        big = big.select("key", "rep", "size")
+        tried = common.materialize(here.where(F.pmod(F.xxhash64("rep", "key", F.lit(t)), F.col("size")) < GROW**t).select("key", "rep"), "lsh-centres")
+        pairs = common.materialize(_against(tried, here, percent).distinct(), "lsh-pairs")
+        more = common.materialize(_verify(pairs, reps, sets, percent), "lsh-links")
         if more.limit(1).count():
             links = common.materialize(links.union(more), "lsh-links")
-            labels = components(links)
-    named = reps.select("d1", "d2", "n", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
+            labels = components(links).toDF("rep", "label")
+    named = reps.select("d1", "d2", "n", "rep").join(labels, "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
     named = common.materialize(named, "lsh-named")
     some = sig.where("n > 0 and doc is not null").select("doc", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("doc", F.col("n").alias("n_shingles"), "component_id")
     none = sig.where("n = 0 or doc is null").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     return some.union(none).withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
 
 
-def _against(centres: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each centre c with the other members of its bucket; a is the centre, so that only a is hot."""
-    return members.join(common.sized_broadcast(centres), "key").where("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b"))
+def _possible(sa: Column, ua: Column, sb: Column, ub: Column, percent: int) -> Column:
+    """Two sets of sizes sa and sb can be linked, of which ua and ub items are in no other set: no more than the smaller
+    rest can be common."""
+    most = F.least(sa - ua, sb - ub)
+    return 100 * most >= percent * (sa + sb - most)
+
+
+def _company(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, rep, size, s, own: the buckets to work on; s is the size of a set, own how many items only it has.
+
+    Buckets of at most CROWD members stay as they are, with own 0. The members of larger ones can share most of their
+    text without being linked, as in a large group of copies that were edited more and more. Among all of these the
+    items are counted exactly. A text with too many items of its own is linked with none of them. The others meet in
+    their rarest items instead: of s items a linked partner shares all but 100 - percent of a hundred, so both have a
+    common item among their s - ceil(percent * s / 100) + 1 rarest.
+    """
+    crowded = live.where(F.col("size") > CROWD)
+    members = common.sized_broadcast(common.materialize(crowded.select("rep").distinct(), "lsh-crowd"))
+    items = common.materialize(sets.join(members, "rep", "left_semi"), "lsh-crowd-sets")
+    each = items.select("rep", F.explode("items").alias("item"))
+    count = common.materialize(each.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")), "lsh-items")
+    own = common.materialize(count.where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "lsh-own")
+    known = items.select("rep", "items", F.size("items").cast("long").alias("s")).join(common.sized_broadcast(own), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    known = common.materialize(known.where(_possible(F.col("s"), F.col("own"), F.col("s") - F.col("own"), F.lit(0), percent)), "lsh-company")
+    shared = known.select("rep", F.explode("items").alias("item")).join(count.where("n > 1").select("item", "n"), "item")
+    rare = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("r"))
+    rare = rare.join(known.select("rep", "s", "own"), "rep")
+    prefix = F.col("s") - F.ceil(percent * F.col("s") / 100) + 1 - F.col("own")
+    rows = common.materialize(rare.select("rep", "s", "own", F.explode(F.transform(F.slice("r", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["item"])).alias("key")), "lsh-prefixes")
+    again = common.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lsh-buckets")
+    rows = rows.join(common.sized_broadcast(again), "key")
+    few = live.where(F.col("size") <= CROWD).join(sets.select("rep", F.size("items").cast("long").alias("s")), "rep").withColumn("own", F.lit(0).cast("long"))
+    columns = ["key", "rep", "size", "s", "own"]
+    return common.materialize(few.select(*columns).union(rows.select(*columns)), "lsh-members")
+
+
+def _against(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each centre with the members of its bucket that are of other components and can be linked.
+
+    a is the less edited one, so that only a is hot.
+    """
+    c = centres.join(members, ["key", "rep"]).select("key", *(F.col(x).alias(f"c_{x}") for x in ("rep", "s", "own", "label")))
+    here = (F.col("label") != F.col("c_label")) & _possible(F.col("s"), F.col("own"), F.col("c_s"), F.col("c_own"), percent)
+    m = members.join(common.sized_broadcast(common.materialize(c, "lsh-against")).withColumnRenamed("key", "c_key"), (F.col("key") == F.col("c_key")) & here)
+    first = F.struct("own", "rep") < F.struct(F.col("c_own").alias("own"), F.col("c_rep").alias("rep"))
+    return m.select(F.when(first, F.col("rep")).otherwise(F.col("c_rep")).alias("a"), F.when(first, F.col("c_rep")).otherwise(F.col("rep")).alias("b"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .. import schemas
 from ..config import Settings
 from ..errors import AskError, GeneratorError, IndexingError, RequestError, SummaryError
 from ..functions import rowwise
@@ -74,7 +74,7 @@ def ask(spark: SparkSession, store: Store, repository_id: str, question: str, ge
     store.repository(repository_id)
     store.latest_report(repository_id)
     usage = {"prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 0}
-    asked = spark.createDataFrame([(0, repository_id, question)], "question_id long, repository_id string, question string")
+    asked = spark.createDataFrame([(0, repository_id, question)], schemas.QUESTIONS)
     direct = routing.direct_answers(asked, store.graph(repository_id)).first()
     if direct["route"] != "llm":
         answer = {c: direct[c] for c in ("answer", "confidence", "sources", "graph_context_used")}
@@ -110,6 +110,3 @@ def summarize(store: Store, repository_id: str, generator: generators.Generator
 def health(settings: Settings | None = None) -> dict:
     s = settings or Settings.from_env()
     return {"status": "ok", "app_name": s.app_name, "environment": s.environment, "version": s.version}
-
-
-QUESTIONS = T.StructType.fromDDL("question_id long, repository_id string, question string")

@@ -18,9 +18,6 @@ from .. import schemas
 from ..errors import AskError
 from ..operators import graph
 
-COMMITS = T.StructType.fromDDL("repository_id string, run string, at timestamp_ntz")
-
-
 def now() -> dt.datetime:
     return dt.datetime.now(dt.UTC).replace(tzinfo=None)
 
@@ -50,7 +47,7 @@ class Store:
 
     def latest_run(self, repository_id: str | None = None) -> DataFrame:
         """repository_id, run: the last committed one of each."""
-        c = self.read("commits", COMMITS)
+        c = self.read("commits", schemas.COMMITS)
         if repository_id is not None:
             c = c.where(F.col("repository_id") == repository_id)
         return c.groupBy("repository_id").agg(F.max_by("run", F.struct("at", "run")).alias("run"))
@@ -111,7 +108,7 @@ class Store:
 
     def commit(self, run: str, repository_ids: list[str]) -> None:
         rows = [(r, run, now()) for r in repository_ids]
-        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self.spark.createDataFrame(rows, schemas.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 
     def delete(self, name: str, repository_id: str) -> None:
         """Drop a repository's partition of an index table (SNK-5)."""
