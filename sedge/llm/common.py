@@ -51,6 +51,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def lower_sql(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+def blank_words_sql(text: str) -> str:
+    return rf"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+
 def sized_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound, else df as it is (Spark then shuffles)."""
     n = df.count() if rows is None else rows

@@ -117,7 +117,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_sql(column: str) -> str:
-    return rf"list_filter(regexp_split_to_array(translate(coalesce({column}, ''), '{common.UPPER}', '{common.UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"list_filter(regexp_split_to_array({common.lower_sql(column)}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 
 def sql(docs: str = "documents") -> str:

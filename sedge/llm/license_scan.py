@@ -48,7 +48,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_sql(column: str) -> str:
-    c = f"regexp_replace(translate(coalesce({column}, ''), '{common.UPPER}', '{common.UPPER.lower()}'), '{COPYRIGHT}', chr(10), 'g')"
+    c = f"regexp_replace({common.lower_sql(column)}, '{COPYRIGHT}', chr(10), 'g')"
     c = f"' ' || regexp_replace({c}, '{NOT_WORD}', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         c = f"replace({c}, '{a}', '{b}')"

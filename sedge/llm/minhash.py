@@ -296,3 +296,17 @@ def _against(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return duplicate_groups(docs, 85).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def sql() -> str:
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {common.blank_words_sql(common.lower_sql('text'))} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.doc_id WHERE r.r < e.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS m FROM r GROUP BY doc_id) c USING (doc_id)
+"""

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,12 @@ class Phrases:
     c: np.ndarray
 
 
-#: texts -> phrases and a function (indices of phrases) -> (index, window start, fingerprint) of all their windows.
-Parser = Callable[[pa.Array], tuple[Phrases, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+#: Indices of phrases -> (index, window start, fingerprint) of all their windows.
+Windows = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: texts -> phrases and their windows, in parts of bounded size, whatever the length of a text.
+Parser = Callable[[pa.Array], Iterator[tuple[Phrases, Windows]]]
+#: Window starts whose spans are merged at once; what a group collects stays under that.
+BLOCK = 1 << 16
 
 
 def _place(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -56,20 +61,32 @@ def fold(parts: Iterator[tuple[np.ndarray | None, np.ndarray]], h: np.ndarray) -
     return h
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[tuple[np.ndarray, Phrases, Callable]]:
+def _parsed(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[tuple[np.ndarray, Phrases, Windows]]:
     for b in batches:
         text, doc = b.column("text"), b.column("doc").to_numpy(zero_copy_only=False)
         for i, j in tokens.pieces(text):
-            p, windows = parser(text.slice(i, j - i))
-            if len(p.row):
-                yield doc[i:j][p.row], p, windows
+            for p, windows in parser(text.slice(i, j - i)):
+                if len(p.row):
+                    yield doc[i:j][p.row], p, windows
 
 
-def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
-    """doc, spans: for each document with repeated windows the sorted stretches [a, b] of their starts.
+def merge_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) sorted by row and a, with those of a row made one whose windows overlap or touch."""
+    if not len(row):
+        return row, a, b
+    apart = np.int64(1 << 40)
+    reach = np.maximum.accumulate(b + row * apart)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] + row[1:] * apart > reach[:-1] + size)
+    first = np.flatnonzero(new)
+    return row[first], a[first], np.maximum.reduceat(b, first)
 
-    docs: doc (long, not null), text. first_stays: a window is repeated if an equal one has a smaller (doc, start), else
-    if there is an equal one anywhere else.
+
+def repeats(docs: DataFrame, parser: Parser, size: int, first_stays: bool) -> DataFrame:
+    """doc, spans: for each document with repeated windows sorted stretches [a, b] of starts whose windows cover what they do.
+
+    docs: doc (long, not null), text. size: a window's units. first_stays: a window is repeated if an equal one has a
+    smaller (doc, start), else if there is an equal one anywhere else.
     """
     spark = docs.sparkSession
 
@@ -117,7 +134,19 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
             x = x.where("doc <> fd or a <> fa")
         x = x.select("doc", "a", "b")
         found = x if found is None else found.union(x)
-    return found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans")
+            values = spans.flatten()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            row, x, y = merge_spans(row, *(values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b")), size)
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "spans": pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["a", "b"]))})
+
+    some_of = found.groupBy("doc", F.floor(F.col("a") / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    runs = some_of.select("doc", "spans").mapInArrow(merged, "doc long, spans array<struct<a:bigint,b:bigint>>")
+    return runs.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def covered(spans: list[dict] | None, size: int, n: int) -> list[tuple[int, int]]:

@@ -27,4 +27,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license_scan.sql(), "op8_decontaminate": decontaminate.sql()}
+    return {
+        "op1_minhash_dedup": minhash.sql(),
+        "op2_suffix_dedup": suffix_dedup.SQL,
+        "op3_recompression_dedup": recompression.sql(),
+        "op4_exact_dedup": exact_dedup.SQL,
+        "op7_license_scan": license_scan.sql(),
+        "op8_decontaminate": decontaminate.sql(),
+    }

@@ -22,10 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .passages import Phrases, covered, fold, repeats
+from .passages import Phrases, Windows, covered, fold, repeats
 
 SIZE, LEVELS, RUN, MARGIN = 35, 3, 3, 10
+#: A longer text is parsed in stretches of so many window starts, which changes no result: a window's symbol follows from
+#: its own words.
+STRETCH = 1 << 18
 _K = np.uint64(0xD6E8FEB86659FD93)
+#: A position within the symbols parsed at once, which are fewer.
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -72,22 +76,30 @@ def _fold_words(h: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.nda
     return fold(parts(), seed)
 
 
-def parse(texts: pa.Array):  # noqa: ANN201
+def parse(texts: pa.Array) -> Iterator[tuple[Phrases, Windows]]:
     """passages.Parser over words."""
     data, at = tokens.joined(texts)
     begin, end = tokens.words(data)
     h = tokens.word_hashes(data, begin, end)
     row = np.searchsorted(at, begin, "right") - 1
+    if len(texts) > 1:
+        yield _phrases(h, row, np.searchsorted(row, np.arange(len(texts) + 1)))
+        return
+    for k in range(0, len(h) - SIZE + 1, STRETCH):
+        part = h[k : k + STRETCH + SIZE - 1]
+        yield _phrases(part, row[: len(part)], np.array([0, len(part)]), k)
+
+
+def _phrases(h: np.ndarray, row: np.ndarray, first_word: np.ndarray, before_h: int = 0) -> tuple[Phrases, Windows]:
+    """Of words with their rows; first_word: where each row starts (and the end); before_h: words of the text before them."""
     n = len(h)
-    first_word = np.searchsorted(row, np.arange(len(texts) + 1))
     names, start = compress(h, row)
     before = np.zeros(n + 2, np.int64)  # symbols that start before a word
     before[start + 1] = 1
     before = np.cumsum(before)
     s = np.flatnonzero(np.arange(n) + SIZE <= first_word[1:][row]) if n else np.zeros(0, np.int64)
     lo, hi = before[s + MARGIN], before[s + SIZE - MARGIN + 1] - 1  # whole symbols lo..hi-1
-    # The least hash among them, leftmost of equals, by a table of minima over 1, 2, 4, 8 symbols. Pieces hold under 2**24
-    # symbols, or else those far on in a longer text compare by hash and a position modulo that, which is as consistent.
+    # The least hash among them, leftmost of equals, by a table of minima over 1, 2, 4, 8 symbols.
     x = (common.mix64(names) & ~_LOW) | (np.arange(len(names), dtype=np.uint64) & _LOW)
     mins = [x]
     for k in range(3):
@@ -99,7 +111,6 @@ def parse(texts: pa.Array):  # noqa: ANN201
     level = np.frexp((hi - lo).astype(np.float64))[1] - 1
     left = np.minimum(table[level, lo], table[level, hi - (1 << level)]) if len(s) else np.zeros(0, np.uint64)
     own = (left & _LOW).astype(np.int64)
-    own += (lo - own + int(_LOW)) // (int(_LOW) + 1) * (int(_LOW) + 1)  # the position's upper bits, from the window's first
     new = np.ones(len(s), bool)
     new[1:] = (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)
     f = np.flatnonzero(new)
@@ -108,7 +119,7 @@ def parse(texts: pa.Array):  # noqa: ANN201
     t, e = stops[own], stops[own + 1] if len(own) else own
     core = _fold_words(h, t - MARGIN, e - t + 2 * MARGIN, common.mix64((e - t).astype(np.uint64)))
     c = _fold_words(h, a, b - a + SIZE, common.mix64((t - a).astype(np.uint64)))
-    shift = -first_word[row[a]] if len(a) else a
+    shift = before_h - first_word[row[a]] if len(a) else a
 
     def windows(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = b[k] - a[k] + 1
@@ -143,10 +154,22 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows elsewhere for each other, and each loses what any of them loses.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeats(x.where("doc is not null and text is not null"), parse, first_stays=False)
+    spans = repeats(x.where("doc is not null and text is not null"), parse, SIZE, first_stays=False)
     return x.select(F.col("doc").alias("id"), "text").join(spans.withColumnRenamed("doc", "_doc"), F.col("id") == F.col("_doc"), "left").select("id", "text", "spans").mapInArrow(_kept, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
 def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_words(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def sql() -> str:
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {common.blank_words_sql("coalesce(text, '')")} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, md5_number(array_to_string(w[i + 1:i + 35], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 34, 0))) AS i FROM d)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM s JOIN (SELECT x FROM s GROUP BY x HAVING count(*) > 1) USING (x)),
+u AS (SELECT doc_id, w[k + 1] AS t, k FROM (SELECT doc_id, w, unnest(range(len(w))) AS k FROM d) ANTI JOIN g USING (doc_id, k)),
+j AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY k) AS t FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(j.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(j.t, '')) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""

@@ -19,26 +19,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .passages import Phrases, covered, fold, repeats
+from .passages import Phrases, Windows, covered, fold, repeats
 
 SIZE, GRAM = 100, 32
 _PLACES = SIZE - GRAM + 1
+#: A place within the bytes parsed at once, which are fewer.
 _LOW = np.uint64((1 << 24) - 1)
 #: A longer text is parsed in stretches of so many starts; phrases then end there too, which changes no result.
-STRETCH = 1 << 22
+STRETCH = 1 << 20
+_Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts in stretches; per stretch its row, its offset in the text, its place in the bytes (and the end)."""
-    parts, row, off = [], [], []
+def _units(texts: pa.Array) -> Iterator[_Units]:
+    """Stretches of the texts, some at a time: their bytes; of each its row, its offset in the text, its place in the bytes
+    (and the end)."""
+    parts, row, off, total = [], [], [], 0
+
+    def made() -> _Units:
+        data = np.frombuffer(b"".join(parts) + b"\0" * 200, np.uint8)
+        return data, np.array(row, np.int64), np.array(off, np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
     for i, t in enumerate(texts):
-        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-        for k in range(0, max(1, len(raw) - SIZE + 1), STRETCH):
-            parts.append(raw[k : k + STRETCH + SIZE - 1])
+        raw = t.as_buffer() if t.is_valid else b""
+        for k in range(0, len(raw) - SIZE + 1, STRETCH):
+            if parts and total + min(len(raw) - k, STRETCH) > STRETCH:
+                yield made()
+                parts, row, off, total = [], [], [], 0
+            parts.append(memoryview(raw)[k : k + STRETCH + SIZE - 1])
             row.append(i)
             off.append(k)
-    data = np.frombuffer(b"".join(parts) + b"\0" * 200, np.uint8)
-    return data, np.array(row, np.int64), np.array(off, np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            total += len(parts[-1])
+    if parts:
+        yield made()
 
 
 def _hash(at8: np.ndarray, start: np.ndarray, size: np.ndarray | int, h: np.ndarray) -> np.ndarray:
@@ -56,9 +68,13 @@ def _hash(at8: np.ndarray, start: np.ndarray, size: np.ndarray | int, h: np.ndar
     return fold(parts(), h)
 
 
-def parse(texts: pa.Array):  # noqa: ANN201
+def parse(texts: pa.Array) -> Iterator[tuple[Phrases, Windows]]:
     """passages.Parser over bytes."""
-    data, row, off, at = _units(texts)
+    for units in _units(texts):
+        yield _phrases(*units)
+
+
+def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[Phrases, Windows]:
     n = int(at[-1])
     at8 = tokens.u8_at(data)
     x = at8[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -74,17 +90,15 @@ def parse(texts: pa.Array):  # noqa: ANN201
         m = np.minimum(m[: len(m) - width], m[width:])
         width *= 2
     m = np.minimum(m[: len(m) - (_PLACES - width)], m[_PLACES - width :])[:n]
-    trigger = (m & _LOW).astype(np.int64)
     unit = np.repeat(np.arange(len(row)), np.diff(at))
-    s = np.flatnonzero(np.arange(n) + SIZE <= at[1:][unit]) if n else np.zeros(0, np.int64)
-    t = trigger[s]
-    t = t + (s - t + int(_LOW)) // (int(_LOW) + 1) * (int(_LOW) + 1)  # the place's upper bits, from the window's start
+    s = np.flatnonzero(np.arange(n) + SIZE <= at[1:][unit])
+    t = (m[s] & _LOW).astype(np.int64)
     new = np.ones(len(s), bool)
     new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)
     first = np.flatnonzero(new)
-    a, b, t = s[first], s[np.concatenate([first[1:], [len(s)]]) - 1] if len(s) else s[first], t[first]
-    own = unit[a] if n else a
-    shift = off[own] - at[own] if len(row) else a
+    a, b, t = s[first], s[np.concatenate([first[1:], [len(s)]]) - 1], t[first]
+    own = unit[a]
+    shift = off[own] - at[own]
     c = _hash(at8, a, b - a + SIZE, common.mix64((t - a).astype(np.uint64)))
 
     def windows(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +107,7 @@ def parse(texts: pa.Array):  # noqa: ANN201
         start = a[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         return i, start + shift[i], _hash(at8, start, SIZE, common.mix64((t[i] - start).astype(np.uint64)))
 
-    return Phrases(row[own] if len(row) else own, a + shift, b + shift, x[t], c), windows
+    return Phrases(row[own], a + shift, b + shift, x[t], c), windows
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +135,26 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id stand at the same place: none is an earlier copy of another, and each loses what any of them loses.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeats(x.where("doc is not null and text is not null"), parse, first_stays=True)
+    spans = repeats(x.where("doc is not null and text is not null"), parse, SIZE, first_stays=True)
     return x.select(F.col("doc").alias("id"), "text").join(spans.withColumnRenamed("doc", "_doc"), F.col("id") == F.col("_doc"), "left").select("id", "text", "spans").mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, b, h[2 * b + 1:2 * b + 1198] AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(CAST(length(h) // 2 - 99 AS BIGINT), 0), 500)) AS b FROM d)),
+s AS MATERIALIZED (SELECT doc_id, b + j AS i, md5_number(h[2 * j + 1:2 * j + 200]) AS x FROM (SELECT doc_id, b, h, unnest(range(CAST(length(h) // 2 - 99 AS BIGINT))) AS j FROM b)),
+r AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+c AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
+f AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR p + 100 < i THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+q AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM f GROUP BY doc_id, run),
+o AS (SELECT doc_id, count(*) AS n, sum(e - a) AS z, list(struct_pack(a := a, e := e) ORDER BY a) AS l FROM q GROUP BY doc_id),
+k AS (SELECT doc_id, h, n, z, [0] || list_transform(l, lambda x: x.e) AS starts, list_transform(l, lambda x: x.a) || [CAST(length(h) // 2 AS BIGINT)] AS ends FROM d JOIN o USING (doc_id)),
+t AS (SELECT doc_id, n, z, array_to_string(list_transform(range(len(starts)), lambda j: h[2 * starts[j + 1] + 1:2 * ends[j + 1]]), '') AS h FROM k)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.z, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
