@@ -114,8 +114,13 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return x
 
 
+def _beside(text: str, spans: list[tuple[int, int]], i: int) -> bool:
+    """Node i stands next to the one after it."""
+    return spans[i + 1][0] - spans[i][1] <= 2 and text[spans[i][1] : spans[i + 1][0]].isspace()
+
+
 def chain_links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [(i, i + 1) for i in range(len(spans) - 1) if text[spans[i][1] : spans[i + 1][0]].isspace() and spans[i + 1][0] - spans[i][1] <= 2]
+    return [(i, i + 1) for i in range(len(spans) - 1) if _beside(text, spans, i)]
 
 
 def skip_links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -128,7 +133,7 @@ def skip_links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
         key = digits if len(digits) >= 7 and "@" not in t else t
         if len(key) < 4:
             continue
-        if key in last and last[key] < i - 1:
+        if key in last and not (last[key] == i - 1 and _beside(text, spans, i - 1)):
             out.append((last[key], i))
         last[key] = i
     return out
