@@ -8,7 +8,7 @@ factors linear in the tokens. Marginals come from damped loopy belief propagatio
 
 Weights are fitted by pseudo-likelihood on about SAMPLE_TOKENS tokens at most, of documents picked by a hash of the id;
 labels are the base patterns' matches. In training the tell-tale signs of a token are left out at times, so that context
-and like mentions get weights too. Base matches stay as they are; runs of nodes that are surely one kind and touch no
+and like mentions get weights too. Base matches stay as they are and are given in inference; runs of nodes that are surely one kind and touch no
 base match are added.
 """
 
@@ -27,6 +27,7 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_TOKENS, SEED, SURE, ROUNDS, DAMP = 20_000, 20_000, 6, 0.9, 12, 0.3
+SHRINK, AGREE, CERTAIN = 1e-3, 2.0, 20.0
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -165,8 +166,12 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, x: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
+    def marginals(self, x: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], given: np.ndarray | None = None) -> np.ndarray:
+        """given: labels that are known where above 0."""
         u = x @ self.unary
+        if given is not None and (known := np.flatnonzero(given)).size:
+            u[known] = -CERTAIN
+            u[known, given[known]] = 0
         if chain or skip:
             links = np.array(chain + skip)
             pot = np.exp(np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)]))
@@ -191,14 +196,18 @@ class Field:
 
 
 def fit_field(x: np.ndarray, near: np.ndarray, like: np.ndarray, y: np.ndarray, seed: int = SEED, rounds: int = 300) -> Field:
-    """Pseudo-likelihood: each label given its neighbours' labels, by gradient descent with shrinkage."""
+    """Pseudo-likelihood: each label given its neighbours' labels, by gradient descent with shrinkage.
+
+    Links shrink to a reward of AGREE for equal labels, so that like mentions agree where the sample has too few to tell.
+    """
     k = len(KINDS) + 1
     rng = np.random.default_rng(seed)
     hide = rng.random(len(x)) < 0.3
     x = x.copy()
     x[hide, :_SIGNS] = 0
     z = np.concatenate([x, near, np.minimum(like, 2)], 1).astype(np.float64)
-    w = np.zeros((z.shape[1], k))
+    prior = np.concatenate([np.zeros((x.shape[1], k)), AGREE * np.eye(k), AGREE * np.eye(k)])
+    w = prior.copy()
     if len(z):
         target, step = np.eye(k)[y], 1.0
         grown = np.zeros_like(w)
@@ -206,7 +215,7 @@ def fit_field(x: np.ndarray, near: np.ndarray, like: np.ndarray, y: np.ndarray,
             p = z @ w
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = z.T @ (p - target) / len(z) + 1e-3 * w
+            g = z.T @ (p - target) / len(z) + SHRINK * (w - prior)
             grown += g * g
             w -= step * g / (np.sqrt(grown) + 1e-6) * 0.3
     a, n = x.shape[1], near.shape[1]
@@ -219,10 +228,10 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     spans = nodes(text)
     if not spans:
         return []
-    x, chain = features(text, spans), chain_links(text, spans)
-    p = field.marginals(x.astype(np.float64), chain, skip_links(text, spans))
+    x, chain, given = features(text, spans), chain_links(text, spans), node_labels(spans, base)
+    p = field.marginals(x.astype(np.float64), chain, skip_links(text, spans), given)
     best = p.argmax(1)
-    free = (node_labels(spans, base) == 0) & (best > 0) & (p.max(1) >= SURE)
+    free = (given == 0) & (best > 0) & (p.max(1) >= SURE)
     joined, out, i = {a for a, _ in chain}, [], 0
     while i < len(spans):
         if not free[i]:

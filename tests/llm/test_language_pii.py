@@ -97,9 +97,10 @@ def test_consistency_along_skip_links(docs):
     t = "call +44 20 7946 0958 or +442079460958 now . " + "word " * 40 + "again 442079460958 please"
     base = pii.base_spans(t)
     assert len(base) == 2
-    linked = field.marginals(pii.features(t, pii.nodes(t)).astype(float), pii.chain_links(t, pii.nodes(t)), pii.skip_links(t, pii.nodes(t)))
-    alone = field.marginals(pii.features(t, pii.nodes(t)).astype(float), pii.chain_links(t, pii.nodes(t)), [])
-    assert linked[-1][4] > alone[-1][4]
+    x, spans = pii.features(t, pii.nodes(t)).astype(float), pii.nodes(t)
+    given, chain = pii.node_labels(spans, base), pii.chain_links(t, spans)
+    linked, alone = field.marginals(x, chain, pii.skip_links(t, spans), given), field.marginals(x, chain, [], given)
+    assert linked[-1][4] > alone[-1][4] and linked[-2][4] > 0.99
 
 
 def test_marginals_match_enumeration():
