@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import re
 import tempfile
 import uuid
@@ -48,11 +49,23 @@ def index_trees(spark: SparkSession, store: Store, trees: dict[str, str], make:
     return ids
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """Where executors can read a clone: spark.checkpoint.dir, if that is a mounted folder; else (None) only local runs can."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or ""
+    root = re.sub("^file:(//)?(?=/)", "", root)
+    if not root:
+        return None
+    if not root.startswith("/"):
+        raise IndexingError("git clones into mounted folders only; clone first and give path.")
+    os.makedirs(root, exist_ok=True)
+    return root
+
+
 def index_repository(spark: SparkSession, store: Store, url: str, path: str | None = None, make: Callable[[], embedding.Embedder] = embedding.HashingEmbedder) -> dict:
     """Index one repository from its url, or from a folder that holds it already; returns what a client is told."""
     if not _URL.fullmatch(url or "") or len(url) > 2048:
         raise RequestError("repo_url must be an http or https URL of at most 2048 characters.")
-    with tempfile.TemporaryDirectory(prefix="sedge-clone-") as folder:
+    with tempfile.TemporaryDirectory(prefix="sedge-clone-", dir=_shared_folder(spark)) as folder:
         if path is None:
             path = f"{folder}/repository"
             git.clone(url, path)

@@ -18,6 +18,7 @@ from .. import schemas
 from ..errors import AskError
 from ..operators import graph
 
+
 def now() -> dt.datetime:
     return dt.datetime.now(dt.UTC).replace(tzinfo=None)
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import types as T
 
-
 S, I, L, B, NTZ = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampNTZType()
 STRINGS = T.ArrayType(S)
 
