@@ -9,9 +9,9 @@ Texts with equal shingle sets are one class with one representative, so copies n
 CROWD classes share a bucket, its members meet in their rarest shingles instead (_company), which tells apart copies that
 were edited too much from those that were not. A bucket of at most SMALL classes gives its pairs; a larger one is worked
 in rounds: some centres (first the least edited, then ever more, picked by hash) are held against the members of other
-components that they can be linked with, and leave the bucket. A bucket is done when its members are one component or
-all have been centres. So each link between different components is tried, and a large group of near copies costs a few
-comparisons a member.
+components that they can be linked with, judged by where the bucket's shingle stands in both, and leave the bucket. A
+bucket is done when its members are one component or all have been centres. So each link between different components is
+tried, and a large group of near copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SHINGLE, BANDS, ROWS, MANTISSA, SMALL, CROWD, GROW = 5, 24, 4, 10, 16, 4, 8
+SHINGLE, BANDS, ROWS, MANTISSA, SMALL, CROWD, GROW = 5, 24, 4, 10, 16, 4, 64
 REGISTERS = BANDS * ROWS
 
 
@@ -212,9 +212,9 @@ def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     live = _company(live, sets, percent)
 
     # Pairs of small buckets, each with at most SMALL members.
-    small = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "s", "own"))).alias("m"))
+    small = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "s", "k"))).alias("m"))
     pairs = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
-    pairs = pairs.where(_possible(F.col("x.s"), F.col("x.own"), F.col("y.s"), F.col("y.own"), percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = pairs.where(_possible(F.col("x.s"), F.col("x.k"), F.col("y.s"), F.col("y.k"), percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     big = common.materialize(live.where(F.col("size") > SMALL), "lsh-big")
     left = big.count()
     first = common.materialize(big.groupBy("key").agg(F.min(F.struct("own", "rep")).alias("m")).select("key", F.col("m.rep").alias("rep")), "lsh-centres")
@@ -225,7 +225,7 @@ def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     while left:
         t += 1
         here = big.join(common.sized_broadcast(tried), ["key", "rep"], "left_anti").join(labels, "rep", "left")
-        here = common.materialize(here.withColumn("label", F.coalesce("label", "rep")).select("key", "rep", "size", "s", "own", "label"), "lsh-here")
+        here = common.materialize(here.withColumn("label", F.coalesce("label", "rep")).select(*_MEMBER, "label"), "lsh-here")
         # A bucket whose tried members are gone is done once the others are one component.
         open_ = common.materialize(here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "lsh-open")
         here = common.materialize(here.join(common.sized_broadcast(open_), "key", "left_semi"), "lsh-left")
@@ -245,21 +245,25 @@ def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     return some.union(none).withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
 
 
-def _possible(sa: Column, ua: Column, sb: Column, ub: Column, percent: int) -> Column:
-    """Two sets of sizes sa and sb can be linked, of which ua and ub items are in no other set: no more than the smaller
-    rest can be common."""
-    most = F.least(sa - ua, sb - ub)
+_MEMBER = ("key", "rep", "size", "s", "own", "k")
+
+
+def _possible(sa: Column, ka: Column, sb: Column, kb: Column, percent: int) -> Column:
+    """Two sets of sizes sa and sb can be linked if the first item that they share, rarest first, stands at ka and kb: all
+    the items before are not common."""
+    most = 1 + F.least(sa - ka, sb - kb)
     return 100 * most >= percent * (sa + sb - most)
 
 
 def _company(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, rep, size, s, own: the buckets to work on; s is the size of a set, own how many items only it has.
-
-    Buckets of at most CROWD members stay as they are, with own 0. The members of larger ones can share most of their
-    text without being linked, as in a large group of copies that were edited more and more. Among all of these the
-    items are counted exactly. A text with too many items of its own is linked with none of them. The others meet in
-    their rarest items instead: of s items a linked partner shares all but 100 - percent of a hundred, so both have a
-    common item among their s - ceil(percent * s / 100) + 1 rarest.
+    """The buckets to work on: key, rep, size (of the bucket), s (size of the set), own (items that only this set has), k
+    (where the key stands among the set's items, rarest first).
+
+    Buckets of at most CROWD members stay as they are, with own 0 and k 1. The members of larger ones can share most of
+    their text without being linked, as in a large group of copies that were edited more and more. Among all of these the
+    items are counted exactly, and they meet in their rarest items instead: of s items a linked partner shares all but
+    100 - percent of a hundred, so both have a common item among their s - ceil(percent * s / 100) + 1 rarest. Items of
+    one text alone come first, so a text with many of these has few keys or none.
     """
     crowded = live.where(F.col("size") > CROWD)
     members = common.sized_broadcast(common.materialize(crowded.select("rep").distinct(), "lsh-crowd"))
@@ -268,26 +272,27 @@ def _company(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     count = common.materialize(each.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")), "lsh-items")
     own = common.materialize(count.where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "lsh-own")
     known = items.select("rep", "items", F.size("items").cast("long").alias("s")).join(common.sized_broadcast(own), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    known = common.materialize(known.where(_possible(F.col("s"), F.col("own"), F.col("s") - F.col("own"), F.lit(0), percent)), "lsh-company")
+    # With no item in common among the own ones, the first common one stands after them.
+    known = common.materialize(known.where(_possible(F.col("s"), F.col("own") + 1, F.col("s") - F.col("own"), F.lit(1), percent)), "lsh-company")
     shared = known.select("rep", F.explode("items").alias("item")).join(count.where("n > 1").select("item", "n"), "item")
     rare = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("r"))
     rare = rare.join(known.select("rep", "s", "own"), "rep")
-    prefix = F.col("s") - F.ceil(percent * F.col("s") / 100) + 1 - F.col("own")
-    rows = common.materialize(rare.select("rep", "s", "own", F.explode(F.transform(F.slice("r", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda x: x["item"])).alias("key")), "lsh-prefixes")
+    prefix = F.slice("r", F.lit(1), F.greatest(F.col("s") - F.ceil(percent * F.col("s") / 100) + 1 - F.col("own"), F.lit(0)).cast("int"))
+    rows = rare.select("rep", "s", "own", F.posexplode(prefix).alias("k", "x")).select("rep", "s", "own", (F.col("own") + F.col("k") + 1).alias("k"), F.col("x.item").alias("key"))
+    rows = common.materialize(rows, "lsh-prefixes")
     again = common.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lsh-buckets")
     rows = rows.join(common.sized_broadcast(again), "key")
-    few = live.where(F.col("size") <= CROWD).join(sets.select("rep", F.size("items").cast("long").alias("s")), "rep").withColumn("own", F.lit(0).cast("long"))
-    columns = ["key", "rep", "size", "s", "own"]
-    return common.materialize(few.select(*columns).union(rows.select(*columns)), "lsh-members")
+    few = live.where(F.col("size") <= CROWD).join(sets.select("rep", F.size("items").cast("long").alias("s")), "rep").withColumns({"own": F.lit(0).cast("long"), "k": F.lit(1).cast("long")})
+    return common.materialize(few.select(*_MEMBER).union(rows.select(*_MEMBER)), "lsh-members")
 
 
 def _against(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each centre with the members of its bucket that are of other components and can be linked.
+    """Pairs (a, b) of each centre with the members of its bucket that are of other components and can be linked by it.
 
     a is the less edited one, so that only a is hot.
     """
-    c = centres.join(members, ["key", "rep"]).select("key", *(F.col(x).alias(f"c_{x}") for x in ("rep", "s", "own", "label")))
-    here = (F.col("label") != F.col("c_label")) & _possible(F.col("s"), F.col("own"), F.col("c_s"), F.col("c_own"), percent)
+    c = centres.join(members, ["key", "rep"]).select("key", *(F.col(x).alias(f"c_{x}") for x in ("rep", "s", "own", "k", "label")))
+    here = (F.col("label") != F.col("c_label")) & _possible(F.col("s"), F.col("k"), F.col("c_s"), F.col("c_k"), percent)
     m = members.join(common.sized_broadcast(common.materialize(c, "lsh-against")).withColumnRenamed("key", "c_key"), (F.col("key") == F.col("c_key")) & here)
     first = F.struct("own", "rep") < F.struct(F.col("c_own").alias("own"), F.col("c_rep").alias("rep"))
     return m.select(F.when(first, F.col("rep")).otherwise(F.col("c_rep")).alias("a"), F.when(first, F.col("c_rep")).otherwise(F.col("rep")).alias("b"))
