@@ -15,5 +15,7 @@ def get_session(app: str = "sedge", **conf: str) -> SparkSession:
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Make the `repotree` source known; its filters are pushed down only where the session lets Python sources do so."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepoTree)
     return spark
