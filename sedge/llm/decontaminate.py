@@ -2,9 +2,10 @@
 
 A window is `size` consecutive words of a benchmark item (all of a shorter item). Its set is that of its word shingles.
 Exact containment asks for every shingle of a window, so the necessary prefix of a window in rarity order is its single
-rarest shingle. Rarity is counted over the whole corpus in a first pass; the second pass joins only the prefix shingles,
-and a hit at offset o of the window and position p of the document can only start at p - o, within the document's
-length. What is left is verified word for word against the document.
+rarest shingle. A first pass over the whole corpus writes where benchmark shingles stand, which gives their rarity; of
+these places the second pass joins only those of prefix shingles, and a hit at offset o of the window and position p of
+the document can only start at p - o, within the document's length. What is left is verified word for word against the
+document.
 
 The sides that are broadcast hold benchmark windows, never corpus rows, and only up to common.BROADCAST_ROWS rows, which
 are counted first; beyond that Spark shuffles.
@@ -12,6 +13,8 @@ are counted first; beyond that Spark shuffles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +67,6 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
         parts.append(distinct.where(short).withColumn("w", F.split("window", " ")).select("window", "len", "w").select("window", "len", F.posexplode(_shingles(F.col("w"), j)).alias("o", "h")))
 
     parsed = docs.select(key, words(F.col(text_col)).alias("w"))
-
-    def placed() -> DataFrame:
-        out = None
-        for j in lengths:
-            x = parsed.select("_k", F.posexplode(_shingles(F.col("w"), j)).alias("p", "h"))
-            out = x if out is None else out.unionByName(x)
-        return out
-
     base = docs.select(*rest, key).withColumn("n_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
@@ -81,17 +76,18 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
         grams = grams.unionByName(x)
     grams = common.materialize(grams, "decon-grams")
     n_grams = grams.count()
-    # Pass one: how often each benchmark shingle stands in the corpus.
+    # Pass one: where each benchmark shingle stands in the corpus, and how often.
     known = common.sized_broadcast(grams.select("h").distinct(), n_grams)
-    often = placed().join(known, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    often = common.materialize(often, "decon-rarity")
+    placed = [parsed.select("_k", F.posexplode(_shingles(F.col("w"), j)).alias("p", "h")).join(known, "h", "left_semi") for j in lengths]
+    placed = common.materialize(reduce(DataFrame.unionByName, placed), "decon-places")
+    often = common.materialize(placed.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "decon-rarity")
     # The rarest shingle of each window; a window with a shingle that the corpus lacks can't occur.
     ranked = grams.join(common.sized_broadcast(often, n_grams), "h", "left")
     prefix = ranked.groupBy("window", "len").agg(F.min(F.coalesce("often", F.lit(0))).alias("least"), F.min(F.struct(F.coalesce("often", F.lit(0)), "h", "o")).alias("m")).where("least > 0").select(F.col("m.h").alias("h"), F.col("m.o").alias("o"), "len", "window")
     prefix = common.sized_broadcast(common.materialize(prefix, "decon-prefix"))
     # Pass two: only prefix shingles join; positional and length bounds.
     start = (F.col("p") - F.col("o")).alias("s")
-    cand = placed().join(prefix, "h").select("_k", start, "len", "window").where("s >= 0")
+    cand = placed.join(prefix, "h").select("_k", start, "len", "window").where("s >= 0")
     cand = common.materialize(cand.groupBy("_k").agg(F.collect_set(F.struct("s", "len", "window")).alias("cand")), "decon-candidates")
     ids = common.sized_broadcast(cand.select("_k"))
     texts = parsed.join(ids, "_k", "left_semi").dropDuplicates(["_k"])
