@@ -1,6 +1,6 @@
 """What built-in functions can't express, in plain Python; udfs.py makes columns of it.
 
-SRC-4 lossy decoding, STR-10 Python imports, SRC-7 TOML, JSN-1..4 and PRS-1 JSON.
+SRC-4 lossy decoding, STR-10 Python imports, SRC-6 and SRC-7 JSON and TOML manifests, JSN-1..4 and PRS-1 JSON.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def pyproject_facts(text: str | None) -> tuple[str, str]:
 
 
 def package_keys(text: str | None) -> list[str] | None:
-    """Names of dependencies and devDependencies; null if the manifest is malformed."""
+    """Names of dependencies and devDependencies, merged (AGG-12, MAP-1); null if the manifest is malformed."""
     try:
         data = json.loads(text) if text is not None else None
         merged = {**(data.get("dependencies") or {}), **(data.get("devDependencies") or {})}

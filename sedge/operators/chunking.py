@@ -1,4 +1,4 @@
-"""Overlapping line chunks (WIN-1, SRC-3, SRC-4, FLT-5)."""
+"""Overlapping line chunks (WIN-1, SRC-3, SRC-4, FLT-5, MTH-2, ARR-1)."""
 
 from __future__ import annotations
 

@@ -55,7 +55,7 @@ def sentence_transformer(model: str = "all-MiniLM-L6-v2") -> Embedder:
 
 
 def embed(df: DataFrame, text_col: str = "content", make: Callable[[], Embedder] = HashingEmbedder, out: str = "embedding") -> DataFrame:
-    """df with the vector of its text; null for a null text."""
+    """df with the vector of its text, on the same row (JOIN-12); null for a null text."""
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,7 +1,7 @@
 """The dependency graph: building it, reading it (DOM-8, AGG-3..8, GQ-1..12, JOIN-5..10, PRJ-6, SNK-6).
 
 Files, import edges and use edges are tables; the other nodes and edges follow from them. All functions work on many
-repositories at once unless a repository_id is given.
+repositories at once unless a repository_id is given. Reads are ordered and limited as SRT-7 and SRT-9 say.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
 
 
 def module_uses(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct pairs of different modules whose files import each other; both ends must be nodes."""
+    """Distinct pairs of different modules whose files import each other; both ends must be nodes (FLT-8, SET-2)."""
     m = files.select("repository_id", "path", "module")
     x = edges.join(m.select("repository_id", F.col("path").alias("source"), F.col("module").alias("sm")), ["repository_id", "source"])
     x = x.join(m.select("repository_id", F.col("path").alias("target"), F.col("module").alias("tm")), ["repository_id", "target"])

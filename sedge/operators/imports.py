@@ -54,7 +54,7 @@ def candidates(base: Column, suffixes: tuple[str, ...]) -> Column:
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """repository_id, source, target (a file's path): distinct edges, self-imports dropped.
 
-    Each import's candidates are looked up at once by an equi join; the least position that exists wins.
+    Each import's candidates are looked up at once by an equi join (SET-4); the least position that exists wins.
     """
     is_py = F.col("lang") == "py"
     cand = F.when(is_py, candidates(python_base(F.col("source"), F.col("target")), PY_SUFFIXES)).otherwise(candidates(js_base(F.col("source"), F.col("target")), JS_SUFFIXES))

@@ -1,4 +1,4 @@
-"""Stored relations (SNK-1..10, CRUD-1, SRT-4, SRT-5, SRC-9, SRC-10).
+"""Stored relations (SNK-1..10, CRUD-1, SRT-4, SRT-5, SRT-8, SRC-9, SRC-10, FLT-6, JOIN-13, DT-1, ID-1).
 
 Parquet under one root. The index tables are partitioned by repository_id and written with dynamic partition overwrite,
 so that indexing again replaces a repository's rows. Each write goes to a new run folder that no reader looks at until

@@ -1,4 +1,4 @@
-"""`repotree`: a data source of the directories and files of source trees (SRC-2..5, FLT-1, PRJ-1).
+"""`repotree`: a data source of the directories and files of source trees (SRC-2..5, FLT-1, PRJ-1, SRT-1).
 
 Spark's file sources leave out names that start with `_` or `.` and empty files, so trees are walked here. One partition
 holds one entry at a root's top; executors walk below it. Directories that all users ignore are never entered, symbolic
