@@ -86,6 +86,11 @@ def module_count(g: Graph) -> DataFrame:
     return g.files.agg(F.count_distinct("module").alias("modules"))
 
 
+def file_paths(g: Graph) -> DataFrame:
+    """path of all source files, in order (SRC-2, SRT-1)."""
+    return g.files.select("path").orderBy("path")
+
+
 def modules(g: Graph) -> DataFrame:
     """name, in order (GQ-8)."""
     return g.files.select(F.col("module").alias("name")).distinct().orderBy("name")

@@ -177,7 +177,7 @@ QUERIES: dict[str, Query] = {
     "chunk_lines_100_20": _chunks(100, 20), "chunk_lines_10_2": _chunks(10, 2), "chunk_counts": chunk_counts,
     "vector_topk": vector_topk, "vector_topk_numpy": vector_topk_numpy, "vector_topk_per_query": vector_topk_per_query, "zero_norm_guard": zero_norm_guard,
     "context_concat": context_concat, "retrieval_context": retrieval_context,
-    "graph_stats": _g(lambda g: graph.stats(g).drop("repository_id")), "graph_file_count": _g(graph.file_count), "graph_module_count": _g(graph.module_count), "graph_modules": _g(graph.modules),
+    "graph_stats": _g(lambda g: graph.stats(g).drop("repository_id")), "graph_file_count": _g(graph.file_count), "graph_module_count": _g(graph.module_count), "graph_modules": _g(graph.modules), "graph_file_paths": _g(graph.file_paths),
     "graph_files_in_module": _g(lambda g: graph.files_in_module(g, MODULE)), "graph_module_dependencies": _g(lambda g: graph.module_dependencies(g, MODULE)),
     "graph_imported_files": _g(graph.imported_files), "graph_module_uses": _g(graph.used_modules), "graph_all_module_uses": _g(lambda g: graph.used_modules(g, None)), "graph_services": _g(lambda g: graph.services(graph.Graph(g.files.withColumn("is_service", F.col("path").contains("STANDARD")), g.imports, g.uses))),
     "graph_central_files": _g(graph.central_files), "graph_context_central": _g(lambda g: graph.context(g)["central_files"]),
@@ -235,6 +235,7 @@ SQL: dict[str, str] = {
     "graph_stats": _GRAPH + "SELECT (SELECT count(*) FROM files) AS file_nodes, (SELECT count(DISTINCT module) FROM files) AS module_nodes, (SELECT count(*) FROM files WHERE contains(name, 'service') OR contains('/' || lower(path), '/services/')) AS service_nodes, (SELECT count(*) FROM imports) AS file_import_relationships, (SELECT count(*) FROM uses) AS module_use_relationships",
     "graph_file_count": "SELECT count(*) AS files FROM part",
     "graph_module_count": "SELECT count(DISTINCT p_brand) AS modules FROM part",
+    "graph_file_paths": f"WITH {_FILES} SELECT path FROM files",
     "graph_modules": "SELECT DISTINCT p_brand AS name FROM part",
     "graph_files_in_module": f"WITH {_FILES} SELECT name FROM files WHERE module = '{MODULE}'",
     "graph_module_dependencies": _GRAPH + f"SELECT target AS name FROM uses WHERE source = '{MODULE}'",
