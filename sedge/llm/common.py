@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +50,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files and broadcasts of plans that nothing refers to any more; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -99,19 +109,19 @@ def _merge(seen: np.ndarray, twice: np.ndarray, s: np.ndarray, t: np.ndarray) ->
     seen |= s
 
 
-def build_bloom(keys: DataFrame, bits: int, repeated: bool = False) -> np.ndarray:
-    """Bloom filter of the long column of `keys`; with `repeated`, of keys that may occur at least twice.
+def build_bloom(keys: DataFrame, bits: int, repeated: bool = False, key: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> np.ndarray:
+    """Bloom filter of the long column of `keys`, or of key() of its batches; with `repeated`, of keys that may occur at
+    least twice.
 
     Each task fills filters of its own and ships the blocks that are not empty; blocks merge by key. What reaches the
     driver is one filter of `bits` bits, whatever the number of rows. With `repeated`, two bits are kept for a position,
     set once and set twice; (once, twice) pairs merge associatively, so retried tasks and any order give the same.
     """
-    name = keys.columns[0]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 if repeated else 0, np.uint8)
         for b in batches:
-            at = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            at = key(b) if key else b.column(0).drop_null().to_numpy(zero_copy_only=False)
             if not len(at):
                 continue
             for i, p in enumerate(bloom_positions(at, bits)):
@@ -135,7 +145,7 @@ def build_bloom(keys: DataFrame, bits: int, repeated: bool = False) -> np.ndarra
             _merge(seen[: len(s)], twice[: len(s)], s, w)
         return pa.table({"block": t.column("block").slice(0, 1), "bits": [(twice if repeated else seen).tobytes()]})
 
-    parts = keys.select(name).mapInArrow(fill, "block int, seen binary, twice binary")
+    parts = keys.mapInArrow(frugal(fill), "block int, seen binary, twice binary")
     whole = np.zeros(bits // 8, np.uint8)
     for r in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").collect():
         at = r["block"] * _BLOCK
@@ -157,3 +167,21 @@ def spread(df: DataFrame, tasks_per_core: int = 3) -> int:
 
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Batches) -> Batches:
+    """run, which hands memory back when a task ends: workers are kept for later tasks, more of them than run at a time."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return trimmed

@@ -199,15 +199,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc, n_shingles, component_id, kept for docs (doc, text)."""
-    sig = common.materialize(docs.mapInArrow(_sketch, "doc long, n long, d1 long, d2 long, regs binary"), "lsh-sketches")
+    sig = common.materialize(docs.mapInArrow(common.frugal(_sketch), "doc long, n long, d1 long, d2 long, regs binary"), "lsh-sketches")
     reps = sig.where("n > 0 and doc is not null").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.first("regs").alias("regs"))
     reps = common.materialize(reps, "lsh-classes")
-    bands = reps.select("rep", "regs").mapInArrow(_bands, "rep long, key long")
+    bands = reps.select("rep", "regs").mapInArrow(common.frugal(_bands), "rep long, key long")
     shared = common.materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lsh-buckets")
     live = common.materialize(bands.join(common.sized_broadcast(shared), "key"), "lsh-members")
     ids = live.select("rep").distinct()
     texts = docs.select(F.col("doc").alias("rep"), "text").join(common.sized_broadcast(ids), "rep", "left_semi")
-    sets = common.materialize(texts.mapInArrow(_sets, "rep long, items array<bigint>").dropDuplicates(["rep"]), "lsh-sets")
+    sets = common.materialize(texts.mapInArrow(common.frugal(_sets), "rep long, items array<bigint>").dropDuplicates(["rep"]), "lsh-sets")
 
     live = _company(live, sets, percent)
 

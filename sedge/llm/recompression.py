@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .passages import Phrases, Windows, covered, fold, repeats
+from .passages import Parsed, Phrases, covered, finer, fold, repeats, with_spans
 
-SIZE, LEVELS, RUN, MARGIN = 35, 3, 3, 10
+SIZE, LEVELS, RUN, MARGIN, WIDTH = 35, 3, 3, 10, 5
 #: A longer text is parsed in stretches of so many window starts, which changes no result: a window's symbol follows from
 #: its own words.
 STRETCH = 1 << 18
@@ -76,21 +76,24 @@ def _fold_words(h: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.nda
     return fold(parts(), seed)
 
 
-def parse(texts: pa.Array) -> Iterator[tuple[Phrases, Windows]]:
-    """passages.Parser over words."""
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts; hash, text and place in the bytes of each word."""
     data, at = tokens.joined(texts)
     begin, end = tokens.words(data)
-    h = tokens.word_hashes(data, begin, end)
-    row = np.searchsorted(at, begin, "right") - 1
+    return data, tokens.word_hashes(data, begin, end), np.searchsorted(at, begin, "right") - 1, begin, end
+
+
+def parse(texts: pa.Array) -> Iterator[Parsed]:
+    data, h, row, begin, end = _hashed(texts)
     if len(texts) > 1:
-        yield _phrases(h, row, np.searchsorted(row, np.arange(len(texts) + 1)))
+        yield _phrases(data, h, row, np.searchsorted(row, np.arange(len(texts) + 1)), 0, begin, end)
         return
     for k in range(0, len(h) - SIZE + 1, STRETCH):
-        part = h[k : k + STRETCH + SIZE - 1]
-        yield _phrases(part, row[: len(part)], np.array([0, len(part)]), k)
+        to = slice(k, k + STRETCH + SIZE - 1)
+        yield _phrases(data, h[to], row[to], np.array([0, len(h[to])]), k, begin[to], end[to])
 
 
-def _phrases(h: np.ndarray, row: np.ndarray, first_word: np.ndarray, before_h: int = 0) -> tuple[Phrases, Windows]:
+def _phrases(data: np.ndarray, h: np.ndarray, row: np.ndarray, first_word: np.ndarray, before_h: int, begin: np.ndarray, end: np.ndarray) -> Parsed:
     """Of words with their rows; first_word: where each row starts (and the end); before_h: words of the text before them."""
     n = len(h)
     names, start = compress(h, row)
@@ -121,13 +124,30 @@ def _phrases(h: np.ndarray, row: np.ndarray, first_word: np.ndarray, before_h: i
     c = _fold_words(h, a, b - a + SIZE, common.mix64((t - a).astype(np.uint64)))
     shift = before_h - first_word[row[a]] if len(a) else a
 
-    def windows(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = b[k] - a[k] + 1
-        i = np.repeat(k, count)
-        w = a[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        return i, w + shift[i], _fold_words(h, w, np.full(len(w), SIZE), common.mix64((t[i] - w).astype(np.uint64)))
+    def read(start: np.ndarray, size: np.ndarray, seed: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return _fold_words(h, start + first_word[of] - before_h, size, seed)
+
+    def contents(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[bytes]:
+        back = first_word[of] - before_h
+        return [raw[i:j] for i, j in zip(begin[a + back].tolist(), end[b + back + SIZE - 1].tolist(), strict=True)]
+
+    raw, phrases = data.data, Phrases(row[a] if n else a, a + shift, b + shift, core, c)
+    return phrases, lambda k: finer(k, phrases, t + shift, SIZE, WIDTH, read), contents
+
+
+def alike(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, h, row, _, _ = _hashed(pa.array(contents, pa.binary()))
+    first = np.searchsorted(row, np.arange(len(contents) + 1))
+    w = np.flatnonzero(np.arange(len(h)) + SIZE <= first[1:][row])
+    return row[w], w - first[row[w]], _fold_words(h, w, np.full(len(w), SIZE), np.zeros(len(w), np.uint64))
+
+
+class Words:
+    """passages.Parser over words."""
 
-    return Phrases(row[a] if n else a, a + shift, b + shift, core, c), windows
+    size = SIZE
+    parse = staticmethod(parse)
+    alike = staticmethod(alike)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +174,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows elsewhere for each other, and each loses what any of them loses.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeats(x.where("doc is not null and text is not null"), parse, SIZE, first_stays=False)
-    return x.select(F.col("doc").alias("id"), "text").join(spans.withColumnRenamed("doc", "_doc"), F.col("id") == F.col("_doc"), "left").select("id", "text", "spans").mapInArrow(_kept, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
+    spans = repeats(x.where("doc is not null and text is not null"), Words(), first_stays=False)
+    return with_spans(x, spans, _kept, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
 def op3_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .passages import Phrases, Windows, covered, fold, repeats
+from .passages import Parsed, Phrases, covered, finer, fold, repeats, with_spans
 
-SIZE, GRAM = 100, 32
+SIZE, GRAM, WIDTH = 100, 32, 17
 _PLACES = SIZE - GRAM + 1
 #: A place within the bytes parsed at once, which are fewer.
 _LOW = np.uint64((1 << 24) - 1)
 #: A longer text is parsed in stretches of so many starts; phrases then end there too, which changes no result.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -42,7 +42,7 @@ def _units(texts: pa.Array) -> Iterator[_Units]:
     for i, t in enumerate(texts):
         raw = t.as_buffer() if t.is_valid else b""
         for k in range(0, len(raw) - SIZE + 1, STRETCH):
-            if parts and total + min(len(raw) - k, STRETCH) > STRETCH:
+            if parts and (row[-1] == i or total + min(len(raw) - k, STRETCH) > STRETCH):
                 yield made()
                 parts, row, off, total = [], [], [], 0
             parts.append(memoryview(raw)[k : k + STRETCH + SIZE - 1])
@@ -68,13 +68,12 @@ def _hash(at8: np.ndarray, start: np.ndarray, size: np.ndarray | int, h: np.ndar
     return fold(parts(), h)
 
 
-def parse(texts: pa.Array) -> Iterator[tuple[Phrases, Windows]]:
-    """passages.Parser over bytes."""
+def parse(texts: pa.Array) -> Iterator[Parsed]:
     for units in _units(texts):
         yield _phrases(*units)
 
 
-def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[Phrases, Windows]:
+def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray) -> Parsed:
     n = int(at[-1])
     at8 = tokens.u8_at(data)
     x = at8[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -101,13 +100,35 @@ def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray)
     shift = off[own] - at[own]
     c = _hash(at8, a, b - a + SIZE, common.mix64((t - a).astype(np.uint64)))
 
-    def windows(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = b[k] - a[k] + 1
-        i = np.repeat(k, count)
-        start = a[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        return i, start + shift[i], _hash(at8, start, SIZE, common.mix64((t[i] - start).astype(np.uint64)))
+    # Each row has one stretch here, so a place in a text is one in the bytes less a shift by row.
+    back = np.zeros(int(row.max()) + 1, np.int64)
+    back[row] = at[:-1] - off
+
+    def read(start: np.ndarray, size: np.ndarray, seed: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return _hash(at8, start + back[of], size, seed)
+
+    def contents(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[bytes]:
+        return [raw[i:j] for i, j in zip((a + back[of]).tolist(), (b + SIZE + back[of]).tolist(), strict=True)]
+
+    raw, phrases = data.data, Phrases(row[own], a + shift, b + shift, x[t], c)
+    return phrases, lambda k: finer(k, phrases, t + shift, SIZE, WIDTH, read), contents
+
+
+def alike(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(c) for c in contents], np.int64)
+    at8 = tokens.u8_at(np.frombuffer(b"".join(contents) + b"\0" * 8, np.uint8))
+    count = np.maximum(size - SIZE + 1, 0)
+    own = np.repeat(np.arange(len(contents)), count)
+    s = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    return own, s, _hash(at8, (np.cumsum(size) - size)[own] + s, SIZE, np.zeros(len(own), np.uint64))
+
+
+class Bytes:
+    """passages.Parser over bytes."""
 
-    return Phrases(row[own], a + shift, b + shift, x[t], c), windows
+    size = SIZE
+    parse = staticmethod(parse)
+    alike = staticmethod(alike)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +156,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id stand at the same place: none is an earlier copy of another, and each loses what any of them loses.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeats(x.where("doc is not null and text is not null"), parse, SIZE, first_stays=True)
-    return x.select(F.col("doc").alias("id"), "text").join(spans.withColumnRenamed("doc", "_doc"), F.col("id") == F.col("_doc"), "left").select("id", "text", "spans").mapInArrow(_kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
+    spans = repeats(x.where("doc is not null and text is not null"), Bytes(), first_stays=True)
+    return with_spans(x, spans, _kept, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.llm import common, exact_dedup, minhash, recompression, suffix_dedup
+from sedge.llm import common, exact_dedup, minhash, passages, recompression, suffix_dedup
 
 from . import brute
 from .conftest import rows_of
@@ -103,6 +103,24 @@ def test_repeats_at_random(spark, seed):
     assert {r[0]: tuple(r[1:]) for r in rows_of(recompression.repeated_words(df), "id", "n_words", "n_removed", "kept_sha256")} == brute.word_repeats(rows)
 
 
+def test_repeats_with_large_families(spark, monkeypatch):
+    """Cores with more entries than are compared in one row, and the same in small families."""
+    rng = random.Random(11)
+    common_part = " ".join(f"c{i}" for i in range(60))
+    rows = []
+    for i in range(60):
+        w = common_part.split()
+        if i % 3:
+            w[rng.randrange(60)] = f"e{i}"
+        rows.append((i, f"{'x' * (i % 7)}{i} " + " ".join(w[rng.randrange(8) :]) + f" {i}{'y' * (i % 5)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.byte_repeats(rows), brute.word_repeats(rows)
+    for most in (2, 128):
+        monkeypatch.setattr(passages, "FAMILY", most)
+        assert {r[0]: tuple(r[1:]) for r in rows_of(suffix_dedup.repeated_bytes(df), "id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} == want[0]
+        assert {r[0]: tuple(r[1:]) for r in rows_of(recompression.repeated_words(df), "id", "n_words", "n_removed", "kept_sha256")} == want[1]
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     p = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(None, p, 1), (3, p, 2), (3, p, 3), (4, None, None)], "doc_id long, text string, spans int")

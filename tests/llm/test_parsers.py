@@ -1,6 +1,7 @@
 """What passages.py asks of a parser, at random: each window in one phrase, equal windows and no others alike."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,25 @@ def test_windows_of_phrases(kind, monkeypatch):
         pool = ["".join(rng.choice("ab ") for _ in range(rng.randrange(50, 200))) for _ in range(5)]
         texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 5))) for _ in range(rng.choice([1, 6]))]
         names, places = {}, set()
-        for p, windows in module.parse(pa.array(texts)):
-            for i, s, f in zip(*windows(np.arange(len(p.row))), strict=True):
-                place = (int(p.row[i]), int(s))
-                assert p.a[i] <= s <= p.b[i] and place not in places
-                places.add(place)
-                window = tuple(units(texts[place[0]])[s : s + module.SIZE])
-                assert names.setdefault(window, (int(p.g[i]), int(f))) == (int(p.g[i]), int(f))
+        for p, finer, contents in module.parse(pa.array(texts)):
+            if not len(p.row):
+                continue
+            for q in (p, finer(np.arange(len(p.row)))):
+                parts = contents(q.a, q.b, q.row)
+                own, place, f = module.alike(parts)
+                assert Counter(own.tolist()) == Counter(dict(enumerate((q.b - q.a + 1).tolist())))
+                assert q is p or (q.b - q.a < module.WIDTH).all()
+                for i, s, h in zip(own.tolist(), place.tolist(), f.tolist(), strict=True):
+                    r, start = int(q.row[i]), int(q.a[i]) + s
+                    window = tuple(units(texts[r])[start : start + module.SIZE])
+                    assert window == tuple(units(bytes(parts[i]).decode())[s : s + module.SIZE])
+                    assert names.setdefault((q is p, window), (int(q.g[i]), h)) == (int(q.g[i]), h)
+                    if q is p:
+                        assert (r, start) not in places
+                        places.add((r, start))
+                whole = {}  # equal content keys stand for equal contents
+                for i in range(len(q.row)):
+                    assert whole.setdefault((int(q.g[i]), int(q.c[i])), units(bytes(parts[i]).decode())) == units(bytes(parts[i]).decode())
         assert places == {(r, i) for r, t in enumerate(texts) for i in range(len(units(t)) - module.SIZE + 1)}
         assert len(set(names.values())) == len(names)
 
