@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +35,20 @@ def retrieve(chunks: DataFrame, repository_id: str, query: Sequence[float], k: i
 def top_k_per_query(items: DataFrame, queries: DataFrame, k: int = TOP_K, item_key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", digits: int | None = None) -> DataFrame:
     """query_key, item_key, similarity, rank for each row of queries (query_key, column) against all items.
 
-    The query set is broadcast only up to MAX_QUERIES rows, which are counted. Each task keeps its own best k of a query
-    before the shuffle (a window group limit), so k rows a query and task travel.
+    Queries are counted; over MAX_QUERIES they are dealt by a hash of their key into blocks of about half that, so that
+    what is broadcast keeps its bound. Each task keeps its own best k of a query before the shuffle (a window group limit),
+    so k rows a query and task travel.
     """
+    n = queries.count()
+    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
     q = queries.select(F.col(query_key), F.col(column).alias("_q"))
-    if (n := q.count()) > MAX_QUERIES:
-        raise ValueError(f"{n} queries; split them into blocks of {MAX_QUERIES}")
     score = vector.cosine(F.col(column), F.col("_q"))
-    x = items.select(F.col(item_key), F.col(column)).join(F.broadcast(q)).select(query_key, item_key, (score if digits is None else F.round(score, digits)).alias("similarity"))
+    score = (score if digits is None else F.round(score, digits)).alias("similarity")
     w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("similarity"), item_key)
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def block(i: int) -> DataFrame:
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i)
+        x = items.select(F.col(item_key), F.col(column)).join(F.broadcast(own)).select(query_key, item_key, score)
+        return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sedge.operators import retrieval
 from sedge.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
@@ -64,3 +65,9 @@ def test_top_k_and_edges_plan_as_wanted(spark):
     assert "TakeOrderedAndProject" in plan("vector_topk") and "TakeOrderedAndProject" in plan("graph_central_files")
     assert "WindowGroupLimit" in plan("vector_topk_per_query")
     assert "Cartesian" not in "".join(plan(n) for n in ("graph_stats", "graph_module_uses", "import_resolve_priority"))
+
+
+def test_top_k_per_query_in_blocks(spark, monkeypatch):
+    want = sorted(map(tuple, core.QUERIES["vector_topk_per_query"](spark, DATA).collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
+    assert sorted(map(tuple, core.QUERIES["vector_topk_per_query"](spark, DATA).collect())) == want
