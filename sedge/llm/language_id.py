@@ -131,13 +131,15 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     got = good.where(F.pmod("h", F.lit(scale)) < share).mapInArrow(features, "lang string, h long, at binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], r["h"], r["at"], r["n"]))
     x = np.zeros((len(got), DIMS), np.float32)
+    of = np.array([r["lang"] for r in got])
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
     if not len(x):
         return None
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = normalise(tf(x) * idf)
-    of = np.array([r["lang"] for r in got])
+    del got
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    for i in range(0, len(x), _ROWS):  # in place: x is the largest thing on the driver
+        x[i : i + _ROWS] = normalise(tf(x[i : i + _ROWS]) * idf)
     langs = sorted(set(of))
     centroids, owner, limit = [], [], []
     for k, lang in enumerate(langs):
