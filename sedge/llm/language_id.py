@@ -130,20 +130,21 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
     got = good.where(F.pmod("h", F.lit(scale)) < share).mapInArrow(features, "lang string, h long, at binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], r["h"], r["at"], r["n"]))
-    x = np.zeros((len(got), DIMS), np.float32)
-    of = np.array([r["lang"] for r in got])
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    if not len(x):
+    if not got:
         return None
-    del got
-    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-    for i in range(0, len(x), _ROWS):  # in place: x is the largest thing on the driver
-        x[i : i + _ROWS] = normalise(tf(x[i : i + _ROWS]) * idf)
-    langs = sorted(set(of))
+    seen = np.zeros(DIMS, np.int64)
+    for r in got:
+        seen[np.frombuffer(r["at"], np.uint16)] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
+    langs = sorted({r["lang"] for r in got})
     centroids, owner, limit = [], [], []
-    for k, lang in enumerate(langs):
-        own = x[of == lang]
+    for k, lang in enumerate(langs):  # one language's vectors at a time are dense on the driver
+        rows = [r for r in got if r["lang"] == lang]
+        own = np.zeros((len(rows), DIMS), np.float32)
+        for i, r in enumerate(rows):
+            own[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
+        for i in range(0, len(own), _ROWS):
+            own[i : i + _ROWS] = normalise(tf(own[i : i + _ROWS]) * idf)
         c = k_means(own, clusters, seed)
         centroids.append(c)
         owner += [k] * len(c)
