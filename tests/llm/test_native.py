@@ -186,5 +186,23 @@ def test_impure_templates_are_rejected(spark):
     assert all(got[f"s{i}.net", "es"] == "block" and got[f"c{i}.com", "es"] == "allow" for i in range(3))
 
 
+def test_siblings_alone_do_not_block(spark):
+    """Unlabelled branches beside blocked ones, and hosts without any label, keep their own templates and are allowed."""
+    paths = [("n.net", "en"), ("n.net", "es"), ("n.net", "fr"), ("o.org", "en"), ("o.org", "de")]
+    rows = [(f"http://{h}/{p}/{i}",) for h, p in paths for i in range(60)] + [(f"http://n.net/{i}",) for i in range(60)] + [(f"http://n.net/w{chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(300)]
+    got = url_filter.judge(spark.createDataFrame(rows, "url string")).collect()
+    assert {r["verdict"] for r in got if r["rule"]} == {"block"} and {r["verdict"] for r in got if not r["rule"]} == {"allow"}
+    names = {p: {r["template"] for r in got if (r["host"], r["path"].split("/")[1]) == p} for p in paths}
+    assert names["n.net", "en"] == {"/en/*"} and names["o.org", "en"] == {"/en/*"} and names["o.org", "de"] == {"/de/*"}
+    assert names["n.net", "es"] == names["n.net", "fr"] == {"/?/*"}
+
+
+def test_the_same_path_on_other_hosts_decides(spark):
+    """Blocked /es/ of .net hosts speaks against an unlabelled /es/, though likeness has merged it with /fr/ there."""
+    rows = [(f"http://{h}/{p}/{i}",) for h, p in (("a.net", "es"), ("a.net", "fr"), ("b.com", "fr"), ("c.com", "fr"), ("o.org", "es"), ("o.org", "fr"), ("o.org", "xx")) for i in range(60)]
+    got = {(r["host"], r["path"].split("/")[1]): r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "url string")).collect()}
+    assert (got["o.org", "es"], got["o.org", "fr"], got["o.org", "xx"]) == ("block", "allow", "allow")
+
+
 def test_no_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], "url string")).count() == 0
