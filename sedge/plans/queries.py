@@ -50,6 +50,13 @@ def vector_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k_per_query(e, q, 2, digits=6)
 
 
+def vector_topk_every_fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    """Each row whose id is divisible by 50, at any table size, against all rows."""
+    e = fx.table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.top_k_per_query(e, q, 2, digits=6)
+
+
 def zero_norm_guard(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "embeddings").where("vec_id < 5").select("vec_id", "embedding")
     zero = e.where("vec_id = 0").select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: x * F.lit(0).cast("float")).alias("embedding"))
@@ -175,7 +182,7 @@ def prompt_json(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "chunk_lines_100_20": _chunks(100, 20), "chunk_lines_10_2": _chunks(10, 2), "chunk_counts": chunk_counts,
-    "vector_topk": vector_topk, "vector_topk_numpy": vector_topk_numpy, "vector_topk_per_query": vector_topk_per_query, "zero_norm_guard": zero_norm_guard,
+    "vector_topk": vector_topk, "vector_topk_numpy": vector_topk_numpy, "vector_topk_per_query": vector_topk_per_query, "vector_topk_every_fiftieth": vector_topk_every_fiftieth, "zero_norm_guard": zero_norm_guard,
     "context_concat": context_concat, "retrieval_context": retrieval_context,
     "graph_stats": _g(lambda g: graph.stats(g).drop("repository_id")), "graph_file_count": _g(graph.file_count), "graph_module_count": _g(graph.module_count), "graph_modules": _g(graph.modules), "graph_file_paths": _g(graph.file_paths),
     "graph_files_in_module": _g(lambda g: graph.files_in_module(g, MODULE)), "graph_module_dependencies": _g(lambda g: graph.module_dependencies(g, MODULE)),
@@ -230,6 +237,7 @@ SQL: dict[str, str] = {
     "vector_topk": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_topk_numpy": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_topk_per_query": f"SELECT query_id, vec_id, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 20) WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 2",
+    "vector_topk_every_fiftieth": f"SELECT query_id, vec_id, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 2",
     "zero_norm_guard": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id < 5 UNION ALL SELECT -1, 0.0",
     "context_concat": "SELECT source, CASE WHEN length(w) > 2000 THEN w[:2000] || chr(10) || '[...retrieved context truncated...]' ELSE w END AS context FROM (SELECT source, string_agg('File: doc' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS w FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 8) GROUP BY source)",
     "graph_stats": _GRAPH + "SELECT (SELECT count(*) FROM files) AS file_nodes, (SELECT count(DISTINCT module) FROM files) AS module_nodes, (SELECT count(*) FROM files WHERE contains(name, 'service') OR contains('/' || lower(path), '/services/')) AS service_nodes, (SELECT count(*) FROM imports) AS file_import_relationships, (SELECT count(*) FROM uses) AS module_use_relationships",

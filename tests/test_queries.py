@@ -37,6 +37,13 @@ def test_query_without_sql_gives_rows(spark, name):
     assert core.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_every_fiftieth_vector_is_a_query(spark):
+    """Two answers for each id that 50 divides, of which there are more the more rows there are."""
+    ids = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()]
+    got = core.QUERIES["vector_topk_every_fiftieth"](spark, "/root/testdata/sf0.1").collect()
+    assert len(ids) == 40 and sorted(r["query_id"] for r in got) == sorted(ids * 2)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
