@@ -1,8 +1,8 @@
 """Licence scans: canonical digest lookup, in DataFrame operations only.
 
 A text is brought to a canonical form (case, punctuation, copyright lines, equivalent spellings), and its SHA-256 is
-looked up among the digests of known licences, which the same expressions make. Entire texts are compared. The table of
-known licences is a constant of this package, so its broadcast side has a fixed size.
+looked up among the digests of known licences, which the same expressions make. Entire texts are compared. Known licences
+are a constant of this package, or a table that the caller gives, which is broadcast only up to a counted size.
 """
 
 from __future__ import annotations
@@ -28,19 +28,28 @@ def canonical(text: Column) -> Column:
     return F.trim(c)
 
 
-def known(spark: SparkSession) -> DataFrame:
+def known(spark: SparkSession, licences: DataFrame | None = None) -> DataFrame:
+    """license_id and canonical_sha256 of licences (license_id, license_text), else of TEXTS.
+
+    Of licences with one canonical form the least id counts; those without words are left out, as no text matches them.
+    """
+    if licences is not None:
+        x = licences.select("license_id", canonical(F.col("license_text")).alias("c")).where("c <> ''")
+        return x.groupBy(F.sha2("c", 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
     rows = spark.createDataFrame(sorted(TEXTS.items()), "license_id string, license_text string")
     return rows.select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("canonical_sha256"))
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", licences: DataFrame | None = None) -> DataFrame:
     """All columns of docs and canonical_sha256, license_id (null: no known licence; columns of these names are replaced).
 
     Null and empty texts have the digest of the empty form and never match. Each of repeated rows gets its own answer.
     """
     rest = [c for c in docs.columns if c not in ("canonical_sha256", "license_id")]
     digest = docs.select(*rest, F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
-    return digest.join(F.broadcast(known(docs.sparkSession)), "canonical_sha256", "left").select(*rest, "canonical_sha256", "license_id")
+    digests = known(docs.sparkSession, licences)
+    digests = F.broadcast(digests) if licences is None else common.sized_broadcast(common.materialize(digests, "licences"))
+    return digest.join(digests, "canonical_sha256", "left").select(*rest, "canonical_sha256", "license_id")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

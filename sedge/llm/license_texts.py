@@ -1,4 +1,6 @@
-"""Public licence texts that the licence scan knows, without their copyright lines."""
+"""Public licence texts that the licence scan knows: short ones here, without their copyright lines, whole ones in `licenses`."""
+
+from pathlib import Path
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
@@ -26,3 +28,9 @@ TEXTS = {
     "GPL-2.0-or-later-notice": _GPL_NOTICE.format("2"),
     "GPL-3.0-or-later-notice": _GPL_NOTICE.format("3"),
 }
+
+_END = "END OF TERMS AND CONDITIONS"
+for _file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+    TEXTS[_file.stem] = _file.read_text(encoding="utf-8")
+    if _END in TEXTS[_file.stem]:  # also without the appendix on how to apply the licence
+        TEXTS[f"{_file.stem}-terms"] = TEXTS[_file.stem].partition(_END)[0] + _END

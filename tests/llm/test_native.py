@@ -52,6 +52,16 @@ def test_licences_in_other_dress(spark):
     assert license_scan.scan(spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_whole_licences(spark):
+    """Whole texts of long licences, one of them rewrapped, and licences of the caller's own table."""
+    names = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "GPL-3.0-terms")
+    df = spark.createDataFrame([(n, " ".join(TEXTS[n].split()) if n == "CC0-1.0" else TEXTS[n].replace("\n", "\r\n")) for n in names], "name string, text string")
+    assert {r["name"]: r["license_id"] for r in license_scan.scan(df).collect()} == {n: n for n in names}
+    own = spark.createDataFrame([("Own-2", "Do as you LIKE."), ("Own-1", "do as you like"), ("Void", " ,"), (None, None)], "license_id string, license_text string")
+    df = spark.createDataFrame([(1, "Do as; you like!"), (2, TEXTS["MIT"]), (3, ""), (4, None)], "id int, text string")
+    assert {r["id"]: r["license_id"] for r in license_scan.scan(df, licences=own).collect()} == {1: "Own-1", 2: None, 3: None, 4: None}
+
+
 def test_known_digests_are_distinct(spark):
     k = license_scan.known(spark)
     assert k.select("canonical_sha256").distinct().count() == k.count() == len(TEXTS)
