@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text, udfs
+from ..functions import paths, text, udfs, vector
 from ..operators import chunking, embedding, graph, imports, metadata, prompts, retrieval, routing
 from . import fixtures as fx
 from .store import latest, new_repositories
@@ -70,6 +70,19 @@ def context_concat(spark: SparkSession, d: str) -> DataFrame:
     return prompts.context(ranked, ["source"], most=2000)
 
 
+def zero_norm_all(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of all embeddings, and of a zero row, to one of them."""
+    e = fx.table(spark, d, "embeddings").select("vec_id", "embedding")
+    zero = e.where("vec_id = 0").select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: x * F.lit(0).cast("float")).alias("embedding"))
+    return e.unionByName(zero).select("vec_id", F.round(vector.cosine(F.col("embedding"), vector.literal(_query_vector(spark, d))), 6).alias("similarity"))
+
+
+def context_all(spark: SparkSession, d: str) -> DataFrame:
+    """A context of each document's chunks, all documents, at the operators' own limits."""
+    x = chunking.chunk_lines(fx.table(spark, d, "documents").select("doc_id", "text"), "text", 100, 20)
+    return prompts.context(x.withColumn("file_path", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), ["doc_id"], rank="chunk_index")
+
+
 def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents, embedded, the two nearest to a question, as a prompt's context."""
     x = embedding.embed(chunking.chunk_lines(fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")))
@@ -95,6 +108,12 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
     return graph.upsert(old, new, ["c_custkey"])
 
 
+def upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """All customers, met by all customers under keys 50 higher: some are kept, most replaced, some are new."""
+    c = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return graph.upsert(c, c.withColumns({"c_custkey": F.col("c_custkey") + 50, "c_acctbal": F.col("c_acctbal") + 1}), ["c_custkey"])
+
+
 def existing_edges(spark: SparkSession, d: str) -> DataFrame:
     g = fx.part_graph(spark, d)
     return graph.existing(g.imports, g.files.where("module <> 'Brand#11'"), "path").select("source", "target")
@@ -142,6 +161,14 @@ def import_resolve_priority(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("p_partkey").agg(F.min_by("path", "k").alias("target"))
 
 
+def import_resolve_priority_all(spark: SparkSession, d: str) -> DataFrame:
+    """All parts are files; candidates of a part's imports are multiples of its key, the largest first, of which few exist."""
+    p = fx.table(spark, d, "part").select("p_partkey", F.expr(fx.PATH).alias("path"))
+    tries = p.select("p_partkey", F.posexplode(F.array(*(F.col("p_partkey") * m for m in (5, 4, 3, 2)))).alias("k", "next"))
+    hit = tries.join(p.select(F.col("p_partkey").alias("next"), "path"), "next")
+    return hit.groupBy("p_partkey").agg(F.min_by("path", "k").alias("target"))
+
+
 def technology_rules(spark: SparkSession, d: str) -> DataFrame:
     return metadata.technologies(fx.rows(spark, fx.MANIFESTS, "repository_id string, path string, text string"))
 
@@ -170,6 +197,13 @@ def repo_upsert(spark: SparkSession, d: str) -> DataFrame:
     return new_repositories(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_name")
 
 
+def repo_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """All customers and suppliers are offered, all customers are known."""
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    offered = c.unionByName(fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+    return new_repositories(c, offered, "name")
+
+
 def answer_parse(spark: SparkSession, d: str) -> DataFrame:
     x = fx.rows(spark, fx.REPLIES, "reply_id int, reply string").withColumn("p", udfs.parse_answer("reply"))
     return x.select("reply_id", "p.result.answer", "p.result.confidence", "p.result.graph_context_used", "p.error")
@@ -193,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "path_facts": path_facts, "url_keys": url_keys, "page_links": page_links, "js_import_extract": js_import_extract, "import_extract": import_extract, "import_resolve": import_resolve, "import_resolve_priority": import_resolve_priority,
     "technology_rules": technology_rules, "keyword_route": keyword_route, "direct_answers": direct_answers, "question_limits": question_limits,
     "latest_report": latest_report, "repo_upsert": repo_upsert, "answer_parse": answer_parse, "prompt_json": prompt_json,
+    "zero_norm_all": zero_norm_all, "context_all": context_all, "import_resolve_priority_all": import_resolve_priority_all, "graph_upsert_all": upsert_all, "repo_upsert_all": repo_upsert_all,
 }
 
 
@@ -293,4 +328,9 @@ SELECT question_id, CASE WHEN answer IS NULL THEN 'llm' ELSE r END AS route, ans
     "question_limits": "SELECT conv_id, turn, length(text) BETWEEN 3 AND 2000 AS accepted FROM conversations",
     "latest_report": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "repo_upsert": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 AND c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 2 = 0)",
+    "zero_norm_all": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q UNION ALL SELECT -1, 0.0",
+    "context_all": f"SELECT doc_id, CASE WHEN length(w) > 12000 THEN w[:12000] || chr(10) || '[...retrieved context truncated...]' ELSE w END AS context FROM (SELECT doc_id, string_agg('File: doc' || doc_id || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_index) AS w FROM ({_chunk_sql(100, 20)}) GROUP BY doc_id)",
+    "import_resolve_priority_all": f"WITH {_FILES}, t AS (SELECT p_partkey, unnest([5, 4, 3, 2]) AS m FROM part) SELECT t.p_partkey, arg_max(f.path, m) AS target FROM t JOIN files f ON f.p_partkey = t.p_partkey * m GROUP BY t.p_partkey",
+    "graph_upsert_all": "SELECT c_custkey + 50 AS c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey + 50 FROM customer)",
+    "repo_upsert_all": "SELECT s_suppkey AS key, s_name AS name FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)",
 }

@@ -44,6 +44,14 @@ def test_every_fiftieth_vector_is_a_query(spark):
     assert len(ids) == 40 and sorted(r["query_id"] for r in got) == sorted(ids * 2)
 
 
+def test_own_operators_take_whole_tables(spark, duck):
+    """What the query over whole tables answers for: each row of its tables."""
+    n = {t: duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("embeddings", "customer", "supplier")}
+    got = {name: core.QUERIES[name](spark, DATA) for name in ("zero_norm_all", "context_all", "graph_upsert_all", "repo_upsert_all")}
+    assert got["zero_norm_all"].count() == n["embeddings"] + 1 and got["graph_upsert_all"].count() == n["customer"] + 50 and got["repo_upsert_all"].count() == n["supplier"]
+    assert got["context_all"].count() == duck.execute(f"SELECT count(DISTINCT doc_id) FROM ({core.SQL['chunk_lines_100_20']})").fetchone()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
