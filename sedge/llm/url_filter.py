@@ -4,8 +4,8 @@ Pages are first folded to (host, shape) counts, a shape being the path with digi
 grown on these counts level by level: at each node a child becomes `*` if the node's children are too many for its pages
 (a variable segment), unless it has LEAST pages or SURE labelled ones of its own. A child with SURE becomes SIMILAR if another
 one has them too and its share of blocked pages is no different from the node's by a z test; a child without them is never
-merged for likeness. LEVELS levels are split one by one; what lies deeper is one last segment, so no part of a path is
-left out. Labels are the verdicts of the rules.
+merged for likeness. Levels are split one by one until no path has a further segment; if the caller bounds them, what lies
+deeper is one last segment. Labels are the verdicts of the rules.
 
 A template's share of blocked pages is smoothed by that of the same paths over all hosts, that by its host's, that by the
 share overall. The same paths are told by their names before likeness merged any, and only if a segment is literal. A page
@@ -22,7 +22,7 @@ from . import common
 
 #: (host, path, verdict); a rule's name is host and path together.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-LEVELS, STRENGTH, REJECT, Z, VARIED, LEAST, SURE = 4, 8.0, 0.5, 1.96, 0.5, 20, 8
+STRENGTH, REJECT, Z, VARIED, LEAST, SURE = 8.0, 0.5, 1.96, 0.5, 20, 8
 #: The name of merged branches, which no segment can have, as a path ends before the first `?`.
 SIMILAR = "?"
 
@@ -49,7 +49,7 @@ def _segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, levels: int = LEVELS, reject: float = REJECT, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, levels: int | None = None, reject: float = REJECT, url_col: str = "url") -> DataFrame:
     """All columns of pages and host, path, rule, verdict, template, purity (columns of these names are replaced).
 
     A null url or one without `://` has empty host and path; no rule fits it, and it is judged with all others like it.
@@ -64,8 +64,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lev
     blocked, labelled = (F.col("_r.verdict") == "block").cast("long"), F.col("_r.verdict").isNotNull().cast("long")
     counts = x.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(blocked, F.lit(0))).alias("b"), F.sum(labelled).alias("l"))
     tree = common.materialize(counts, "url-shapes").withColumns({"_parts": F.split("_shape", "/"), "template": F.lit(""), "_same": F.lit("")})
-    for d in range(1, levels + 1):
-        part = F.get("_parts", F.lit(d - 1)) if d < levels else F.nullif(F.array_join(F.slice("_parts", levels, F.greatest(F.size("_parts"), F.lit(1))), "/"), F.lit(""))
+    depth = tree.agg(F.max(F.size("_parts"))).first()[0] or 0
+    for d in range(1, min(depth, depth if levels is None else levels) + 1):
+        part = F.get("_parts", F.lit(d - 1)) if d != levels else F.nullif(F.array_join(F.slice("_parts", levels, F.greatest(F.size("_parts"), F.lit(1))), "/"), F.lit(""))
         tree = common.materialize(tree.withColumn("_part", part), f"url-level{d}")
         kids = tree.where("_part is not null").groupBy("host", "template", "_part").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"), F.sum("l").alias("cl"))
         # A second aggregate and a join, not a window: a node with very many children is spread over tasks.

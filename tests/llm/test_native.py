@@ -189,6 +189,12 @@ def test_variable_segments_share_a_template(spark):
     assert got.select("template").distinct().count() == 1
 
 
+def test_deep_segments_are_generalised(spark):
+    """A variable segment at depth 6 is `*`, the literal ones around it stay."""
+    rows = [(f"http://deep.io/a/b/c/d/e/{chr(97 + i % 26)}{chr(97 + i // 26)}q/view",) for i in range(200)]
+    assert {r["template"] for r in url_filter.judge(spark.createDataFrame(rows, "url string")).collect()} == {"/a/b/c/d/e/*/view"}
+
+
 def test_impure_templates_are_rejected(spark):
     """Unlabelled pages of a template whose labelled pages are blocked are blocked; others are not."""
     rows = [(f"http://s{i % 3}.net/es/{i}",) for i in range(60)] + [(f"http://s{i % 3}.net/news/{i}",) for i in range(60)] + [(f"http://c{i % 3}.com/es/{i}",) for i in range(60)]
