@@ -2,10 +2,9 @@
 
 Triggers: the 32 bytes with the least rolling hash of each 100-byte window (the leftmost of equals). Phrases run from
 trigger to trigger and overlap by 99 bytes, so each window lies in one phrase whole, and what follows a trigger is read
-alike wherever it stands. Distinct phrases are the dictionary, their occurrences the parse. Sorting the dictionary's
-suffixes by their first 100 bytes and, among equals, by the parse's corpus order (doc_id, start) tells which windows have
-an earlier equal. Only equality and first place count here, so equals are brought together by fingerprints of phrases
-and suffixes (passages.py) and not by a lexicographic sort.
+alike wherever it stands. Distinct phrases are the dictionary, their occurrences the parse. No suffix array of either is
+built: which windows have an earlier equal, by corpus order (doc_id, start), hangs on equality and first place only, so equal
+windows of a trigger's family are brought together by fingerprints (passages.py) and not by a lexicographic sort.
 """
 
 from __future__ import annotations
