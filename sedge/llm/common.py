@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,17 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where the session has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sedge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """This application's folder for tables that all executors read: within spark.checkpoint.dir.
+
+    Only where the session has no such setting and runs on this machine alone, a temporary folder takes its place; on a
+    cluster that is an error, as executors would not see each other's files. The folder goes when Python ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _ROOTS[app] = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='sedge-')).rstrip('/')}/sedge-{app}"
+        atexit.register(clear, spark)
+    return _ROOTS[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application. Results of operators read them, so write those first."""
+    with contextlib.suppress(Exception):  # at the end the JVM may be gone
+        if root := _ROOTS.get(spark.sparkContext.applicationId):
+            _delete(spark, root)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to a fresh Parquet folder of the shared scratch folder and read it back: lineage ends there."""
+    """Write to a fresh Parquet folder of the scratch folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -42,12 +66,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
-    if path := getattr(df, "_sedge_path", None):
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialize() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_sedge_path", None):
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -21,8 +21,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical byte for byte; null counts as the empty text, and empty texts are a group like any
     other. Of a group the row with the largest id stays (`keep="smallest"`: the smallest). Rows that repeat an id with
-    the same text all count in group_size and are kept or dropped together. A null id never stays unless its whole
-    group has null ids; then keep_id is null and kept false. An empty table gives no rows.
+    the same text all count in group_size and are kept or dropped together. A null id stays only if its whole group has
+    null ids; then keep_id is null, and all of the group are kept, as nothing tells them apart. An empty table gives no
+    rows. Texts of any length are hashed whole.
     """
     spark = docs.sparkSession
     new = ["keep_id", "group_size", "kept", "text_sha256"]
@@ -37,12 +38,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(common.bloom_has(seen.value, h.to_numpy()))
 
     flagged = hashed.withColumn("_maybe", maybe("_h"))
-    alone = flagged.where(~F.col("_maybe")).select(*rest, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.coalesce(F.col(id_col) == F.col(id_col), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256"))
+    alone = flagged.where(~F.col("_maybe")).select(*rest, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     cand = flagged.where("_maybe")
     pick = F.max(id_col) if keep == "largest" else F.min(id_col)
     # Written, so that the join has a plain exchange on both sides and Spark can split a hot text's partition.
     groups = common.materialize(cand.groupBy("_sha").agg(pick.alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
-    joined = cand.join(groups, "_sha").select(*rest, "keep_id", "group_size", F.coalesce(F.col(id_col) == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256"))
+    joined = cand.join(groups, "_sha").select(*rest, "keep_id", "group_size", F.coalesce(F.col(id_col).eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256"))
     return alone.unionByName(joined)
 
 

@@ -143,7 +143,7 @@ def test_exact_groups_at_the_edges(spark):
     rows = [(1, "a", "k"), (1, "a", "l"), (None, "a", "m"), (None, "b", None), (None, "b", None), (7, None, "n"), (9, "", "o")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     got = sorted((r["doc_id"] or 0, r["text"] or "", r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect())
-    assert got == [(0, "a", 1, 3, False), (0, "b", 0, 2, False), (0, "b", 0, 2, False), (1, "a", 1, 3, True), (1, "a", 1, 3, True), (7, "", 9, 2, False), (9, "", 9, 2, True)]
+    assert got == [(0, "a", 1, 3, False), (0, "b", 0, 2, True), (0, "b", 0, 2, True), (1, "a", 1, 3, True), (1, "a", 1, 3, True), (7, "", 9, 2, False), (9, "", 9, 2, True)]
     least = exact_dedup.exact_groups(df.where("doc_id > 1"), keep="smallest")
     assert {r["doc_id"]: r["kept"] for r in least.collect()} == {7: True, 9: False}
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0

@@ -25,7 +25,7 @@ def test_stages(spark):
         elif name == "near_dedup":
             assert kept == {d for d, (_, _, stays) in brute.near(ins, 80).items() if stays}
         elif name == "decontamination":
-            assert kept == {d for d, (*_, bad) in brute.leaks(ins, items).items() if not bad}
+            assert kept == {d for d, (_, hit, *_) in brute.leaks(ins, items).items() if not hit}
         else:
             assert kept == {d for d, _ in ins}
             assert out.columns == [*columns, "size", "source_size", "target", "taken"]
@@ -47,3 +47,19 @@ def test_language_stage_is_reproducible(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     a, b = (language_id.classify(x, language_id.trained_on(x)) for x in (docs.repartition(2), docs.repartition(5)))
     assert sorted(map(str, rows_of(a, "doc_id", "lang_pred", "rejected"))) == sorted(map(str, rows_of(b, "doc_id", "lang_pred", "rejected")))
+
+
+def test_odd_input(spark):
+    """Null ids, texts and sources, repeated rows, a very long text, other columns, no rows."""
+    long_text = " ".join(f"the word {i} of a long text" for i in range(40_000))
+    rows = [(None, "a text that stands alone without an id", "en", None, 1), (None, "the same text twice without an id", "en", "web", 2), (None, "the same text twice without an id", "en", "web", 2), (7, None, None, None, None)]
+    rows += [(8, "", "en", "web", 0), (9, "one text of an id that comes twice", "en", "web", 3), (9, "one text of an id that comes twice", "en", "web", 3), (10, long_text, "en", "books", 4)]
+    docs = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, size int")
+    for start in (docs, docs.limit(0)):
+        x = start
+        for name, stage in corpus_pipeline.STAGES:
+            x = stage(spark, x, DATA)
+            assert x.columns[:5] == list(corpus_pipeline.COLUMNS), name
+        got = sorted((r["doc_id"] or 0, r["text"][:20]) for r in x.collect())
+        want = [(0, "a text that stands a"), (0, "the same text twice "), (0, "the same text twice "), (9, "one text of an id th"), (9, "one text of an id th"), (10, long_text[:20])]
+        assert got == (want if start is docs else [])
