@@ -1,7 +1,12 @@
 """Corpus pipeline: five stages from raw documents to a mix, each written as Parquet and read again by the next.
 
 Language ID drops what it rejects, exact dedup and near-dedup keep one document of a group, decontamination drops
-contaminated documents, mixing adds each document's share of the mix. Each stage works on all that the one before kept.
+documents that hold a benchmark window, mixing adds each document's share of the mix. Each stage works on all that the one
+before kept.
+
+Odd input: null, blank and letterless texts go in the language stage; nulls in other columns are kept as they are. Rows
+without a doc_id are never dropped as copies of each other. Repeated rows share one fate in the dedup stages, and each has
+its share of the mix. Texts of any length are judged whole; columns beyond COLUMNS are left out; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,9 +37,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages don't contaminate."""
+    """Documents without any benchmark window, however long they are: a passage leaks just as well from a long text."""
     judged = decontaminate.contamination(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"))
-    return judged.where("not contaminated").select(*COLUMNS)
+    return judged.where("n_hit = 0").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
