@@ -44,6 +44,15 @@ def scratch_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+BATCH_BYTES, _BATCH = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session have some 4 MB, as texts may be long; a smaller setting stays."""
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

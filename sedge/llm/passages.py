@@ -11,7 +11,7 @@ windows start at a..b. Two keys name it: g, its core, and c, its whole content w
 3. Members of a family travel with their content. Those of families of over FAMILY entries are cut finer first: into
    stretches of at most `width` windows, by the window's offset from its core; all windows of a stretch share all but
    width - 1 of their units, and that is the stretch's core. Of stretches with equal content the first counts again.
-4. A family of at most FAMILY entries, fine ones included, comes to one row, where its windows are compared. Those that
+4. A family of at most FAMILY entries, fine ones included, comes to one row, where its windows are sorted. Those that
    are larger still, whose size has no bound, give the fingerprints of their windows, which are counted in turn.
 
 All grouping is by hash aggregation, so a passage that a third of all documents share costs a row for each occurrence
@@ -58,14 +58,17 @@ Parsed = tuple[Phrases, Callable[[np.ndarray], Stretches], Callable[[np.ndarray,
 
 
 class Parser(Protocol):
-    """size: units of a window; parse: in parts of bounded size, whatever the length of a text; alike: contents -> (index,
-    window's place in it, fingerprint) of all their windows."""
+    """size: units of a window; parse: in parts of bounded size, whatever the length of a text; prints: contents -> (index,
+    window's place in it, fingerprint) of all their windows; sorted: the same with classes of equal windows for fingerprints,
+    then the order of the windows by class, those of a class as they came."""
 
     size: int
 
     def parse(self, texts: pa.Array) -> Iterator[Parsed]: ...
 
-    def alike(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
+    def prints(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
+
+    def sorted(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]: ...
 
 
 def finer(k: np.ndarray, p: Phrases, at: np.ndarray, size: int, width: int, fold_units: Callable) -> Stretches:
@@ -123,21 +126,22 @@ def merge_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> tup
 
 
 def _family(parser: Parser, first_stays: bool) -> Batches:
-    """Rows of members (doc, a, content) of a core -> (doc, a, b): merged starts of their repeated windows."""
+    """Rows of members (doc, a, content) of a core -> (doc, a, b): merged starts of their repeated windows.
+
+    Equal windows have equal cores, so windows of several cores are sorted together and never meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                members = batch.column("members").slice(i, 256)
-                own = np.repeat(np.arange(len(members)), pc.list_value_length(members).to_numpy(zero_copy_only=False))
-                m = members.flatten()
+            for i, j in runs(batch.column("members")):
+                m = batch.column("members").slice(i, j - i).flatten()
                 doc, a = (m.field(k).to_numpy(zero_copy_only=False) for k in ("doc", "a"))
-                at, s, w = parser.alike(m.field("content").to_pylist())
+                corpus = np.lexsort((a, doc))
+                doc, a = doc[corpus], a[corpus]
+                at, s, w, o = parser.sorted(m.field("content").take(pa.array(corpus)).to_pylist())
                 if not len(at):
                     continue
-                # Equal windows of a family side by side, in the order of their places.
-                o = np.lexsort((a[at] + s, doc[at], w, own[at]))
-                same = (w[o][1:] == w[o][:-1]) & (own[at[o]][1:] == own[at[o]][:-1])
+                same = w[o][1:] == w[o][:-1]
                 again = np.concatenate([[False], same])
                 if not first_stays:
                     again[:-1] |= same
@@ -145,6 +149,14 @@ def _family(parser: Parser, first_stays: bool) -> Batches:
                 row, x, y = merge_spans(at[hit], s[hit], s[hit], parser.size)
                 yield pa.RecordBatch.from_pydict({"doc": doc[row], "a": a[row] + x, "b": a[row] + y})
 
+    def runs(members: pa.ListArray, most: int = 4 * FAMILY) -> Iterator[tuple[int, int]]:
+        ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            yield i, j
+            i = j
+
     return run
 
 
@@ -155,6 +167,7 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
     if there is an equal one anywhere else.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, p, _, _ in _parsed(batches, parser):
@@ -184,9 +197,12 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
         return spark.sparkContext.broadcast(common.build_bloom(keys, common.bits_for(keys.count()), key=place_of))
 
     small, large = look("not large"), look("large")
+    firsts = closer.select("fd").distinct()
+    wanted = spark.sparkContext.broadcast(common.build_bloom(firsts, common.bits_for(firsts.count())))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, p, finer, contents in _parsed(batches, parser):
+        some_docs = (b.filter(pa.array(common.bloom_has(wanted.value, b.column("doc").to_numpy(zero_copy_only=False)))) for b in batches)
+        for doc, p, finer, contents in _parsed(some_docs, parser):
             known, place = common.bloom_has(some.value, p.g), _place(doc, p.a)
             k = np.flatnonzero(known & common.bloom_has(small.value, place))
             yield row_batch(p, doc, k, contents(p.a[k], p.b[k], p.row[k]))
@@ -212,7 +228,7 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
             for i in range(0, b.num_rows, 2_000):
                 part = b.slice(i, 2_000)
                 g, doc, a = (part.column(n).to_numpy() for n in ("g", "doc", "a"))
-                at, s, w = parser.alike(part.column("content").to_pylist())
+                at, s, w = parser.prints(part.column("content").to_pylist())
                 yield pa.RecordBatch.from_pydict({"g": g[at], "c": w.view(np.int64), "doc": doc[at], "a": a[at] + s})
 
     windows = common.materialize(kin.where(F.col("k") > FAMILY).select("g", "m.*").mapInArrow(common.frugal(expand), "g long, c long, doc long, a long"), "rep-windows")
@@ -236,8 +252,7 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
     some_of = found.groupBy("doc", F.floor(F.col("a") / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     runs = some_of.select("doc", "spans").mapInArrow(common.frugal(merged), "doc long, spans array<struct<a:bigint,b:bigint>>")
     spans = common.materialize(runs.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")), "rep-spans")
-    for t in (parse, dictionary, several, closer, seen, own, sizes, windows, twice):
-        common.discard(t)
+    common.discard(parse, dictionary, several, closer, seen, own, sizes, windows, twice)
     common.release(spark)
     return spans
 

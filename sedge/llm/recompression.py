@@ -135,19 +135,25 @@ def _phrases(data: np.ndarray, h: np.ndarray, row: np.ndarray, first_word: np.nd
     return phrases, lambda k: finer(k, phrases, t + shift, SIZE, WIDTH, read), contents
 
 
-def alike(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prints(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, h, row, _, _ = _hashed(pa.array(contents, pa.binary()))
     first = np.searchsorted(row, np.arange(len(contents) + 1))
     w = np.flatnonzero(np.arange(len(h)) + SIZE <= first[1:][row])
     return row[w], w - first[row[w]], _fold_words(h, w, np.full(len(w), SIZE), np.zeros(len(w), np.uint64))
 
 
+def by_print(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at, s, w = prints(contents)
+    return at, s, w, np.argsort(w, kind="stable")
+
+
 class Words:
     """passages.Parser over words."""
 
     size = SIZE
     parse = staticmethod(parse)
-    alike = staticmethod(alike)
+    prints = staticmethod(prints)
+    sorted = staticmethod(by_print)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,18 @@
 """Suffix-array dedup by prefix-free parsing.
 
-Triggers: the 32 bytes with the least rolling hash of each 100-byte window (the leftmost of equals). Phrases run from
-trigger to trigger and overlap by 99 bytes, so each window lies in one phrase whole, and what follows a trigger is read
-alike wherever it stands. Distinct phrases are the dictionary, their occurrences the parse. No suffix array of either is
-built: which windows have an earlier equal, by corpus order (doc_id, start), hangs on equality and first place only, so equal
-windows of a trigger's family are brought together by fingerprints (passages.py) and not by a lexicographic sort.
+Triggers: the 32 bytes with the least rolling hash of each 100-byte window (the leftmost of equals), as a window without
+any trigger could not be found again. Phrases run from trigger to trigger and overlap by 99 bytes, so each window lies in
+one phrase whole, and what follows a trigger is read alike wherever it stands. Distinct phrases are the dictionary, their
+occurrences the parse.
+
+The dictionary's suffix array (suffix_array) orders the suffixes of its entries by their first 100 bytes, by prefix doubling
+on the bytes themselves. It is built in parts: equal windows have the same trigger, so entries of one trigger are sorted
+together, as one row or a few beside others. As phrases overlap by 99 bytes, a suffix of the parse never needs its second
+phrase: its order is that of its first phrase, then that of the corpus, and this order is the groups of the parse by
+dictionary entry with their first places. Both combine into corpus order (doc_id, start): windows that have 100 bytes in
+common with the one before them in the suffix array are an interval, ties stand as in the corpus, and all but the first go;
+all occurrences of an entry but its first go whole. Only entries of a trigger that stands in very many (passages.FAMILY),
+even when cut finer, are not sorted in a row: Spark groups the fingerprints of their windows.
 """
 
 from __future__ import annotations
@@ -67,6 +75,25 @@ def _hash(at8: np.ndarray, start: np.ndarray, size: np.ndarray | int, h: np.ndar
     return fold(parts(), h)
 
 
+#: Powers of an odd base and of its inverse modulo 2**64, as many as bytes are parsed at once.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b % (1 << 64), np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def _rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial rolling hash modulo 2**64 of the GRAM bytes from each of the first n places on, by running sums."""
+    up, down = _powers(n + GRAM)
+    total = np.zeros(n + GRAM + 1, np.uint64)
+    np.cumsum((data[: n + GRAM] + np.uint64(1)) * up[: n + GRAM], out=total[1:])
+    return (total[GRAM : n + GRAM] - total[:n]) * down[:n]
+
+
 def parse(texts: pa.Array) -> Iterator[Parsed]:
     for units in _units(texts):
         yield _phrases(*units)
@@ -75,12 +102,7 @@ def parse(texts: pa.Array) -> Iterator[Parsed]:
 def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray) -> Parsed:
     n = int(at[-1])
     at8 = tokens.u8_at(data)
-    x = at8[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(8, GRAM, 8):
-        x ^= x >> np.uint64(29)
-        x += at8[k : n + k]
-        x *= np.uint64(0xD6E8FEB86659FD93)
-    x = common.mix64(x)
+    x = common.mix64(_rolling(data, n))
     # The trigger of each window: least upper 40 bits, then leftmost.
     m = np.concatenate([(x & ~_LOW) | (np.arange(n, dtype=np.uint64) & _LOW), np.full(SIZE, ~np.uint64(0))])
     width = 1
@@ -113,13 +135,51 @@ def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray)
     return phrases, lambda k: finer(k, phrases, t + shift, SIZE, WIDTH, read), contents
 
 
-def alike(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Content, place in it and place in the joined bytes of each window of SIZE bytes; the bytes."""
     size = np.array([len(c) for c in contents], np.int64)
-    at8 = tokens.u8_at(np.frombuffer(b"".join(contents) + b"\0" * 8, np.uint8))
     count = np.maximum(size - SIZE + 1, 0)
     own = np.repeat(np.arange(len(contents)), count)
     s = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    return own, s, _hash(at8, (np.cumsum(size) - size)[own] + s, SIZE, np.zeros(len(own), np.uint64))
+    return own, s, (np.cumsum(size) - size)[own] + s, np.frombuffer(b"".join(contents) + b"\0" * 8, np.uint8)
+
+
+def prints(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, s, at, data = _windows(contents)
+    return own, s, _hash(tokens.u8_at(data), at, SIZE, np.zeros(len(own), np.uint64))
+
+
+def suffix_array(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the places `at` (all `size` bytes before the end of data less its 8 bytes of padding) by their first
+    `size` bytes, 8 or more: the order of the places, equal ones as they come, and their ranks, equal for equal bytes.
+
+    Ranks by 8 bytes are doubled to 16, 32 and so on; the last step overlaps. No hash is involved.
+    """
+    n = len(data) - 8
+
+    def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        new = np.zeros(len(key), np.uint64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(new)
+        return order, rank
+
+    width, (_, r) = 8, ranks(tokens.u8_at(data)[:n].byteswap())
+    while width * 2 <= size:
+        after = np.zeros(n, np.uint64)
+        after[: n - width] = r[width:]
+        r = ranks(r << np.uint64(32) | after)[1]
+        width *= 2
+    if width < size:
+        return ranks(r[at] << np.uint64(32) | r[at + size - width])
+    return ranks(r[at])
+
+
+def by_suffix(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    own, s, at, data = _windows(contents)
+    order, rank = suffix_array(data, at, SIZE)
+    return own, s, rank, order
 
 
 class Bytes:
@@ -127,7 +187,8 @@ class Bytes:
 
     size = SIZE
     parse = staticmethod(parse)
-    alike = staticmethod(alike)
+    prints = staticmethod(prints)
+    sorted = staticmethod(by_suffix)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

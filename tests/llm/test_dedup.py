@@ -83,6 +83,24 @@ def test_byte_repeats_of_one_sign(spark):
     assert got == {2: (n - 1, [(1, n)]), 5: (150, [(0, 150)]), 1: (118, [(2, 120)])}
 
 
+@pytest.mark.parametrize("size", [8, 16, 20, 100])
+def test_suffix_array(size):
+    rng = random.Random(size)
+    raw = bytes(rng.choice(b"ab") for _ in range(700)) + b"\xff\x00" * 60 + b"ab" * 90 + bytes(rng.randrange(256) for _ in range(200))
+    at = np.array([i for i in range(len(raw) - size + 1) if rng.random() < 0.8])
+    order, rank = suffix_dedup.suffix_array(np.frombuffer(raw + b"\0" * 8, np.uint8), at, size)
+    assert order.tolist() == sorted(range(len(at)), key=lambda k: (raw[at[k] : at[k] + size], k))
+    keys = sorted({raw[i : i + size] for i in at.tolist()})
+    assert rank.tolist() == [keys.index(raw[i : i + size]) for i in at.tolist()]
+
+
+def test_rolling_hash_rolls():
+    """It hangs on the bytes alone, not on their place."""
+    raw = np.frombuffer(b"0123456789" * 40 + b"\0" * 200, np.uint8)
+    h = suffix_dedup._rolling(raw, 400)
+    assert (h[:350] == h[10:360]).all() and len(set(h[:10].tolist())) == 10
+
+
 def test_word_repeats(docs, texts):
     out = recompression.repeated_words(docs)
     assert {r[0]: tuple(r[1:]) for r in rows_of(out, "id", "n_words", "n_removed", "kept_sha256")} == brute.word_repeats(texts)
