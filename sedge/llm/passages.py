@@ -64,7 +64,7 @@ class Parser(Protocol):
 
     size: int
 
-    def parse(self, texts: pa.Array) -> Iterator[Parsed]: ...
+    def parse(self, rows: pa.RecordBatch) -> Iterator[Parsed]: ...
 
     def prints(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
 
@@ -90,7 +90,7 @@ FAMILY = 128
 BLOCK = 1 << 16
 
 
-def _place(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
+def place(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
     return common.mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
 
 
@@ -108,7 +108,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[tuple
     for b in batches:
         text, doc = b.column("text"), b.column("doc").to_numpy(zero_copy_only=False)
         for i, j in tokens.pieces(text):
-            for p, finer_of, contents in parser.parse(text.slice(i, j - i)):
+            for p, finer_of, contents in parser.parse(b.slice(i, j - i)):
                 if len(p.row):
                     yield doc[i:j][p.row], p, finer_of, contents
 
@@ -160,10 +160,11 @@ def _family(parser: Parser, first_stays: bool) -> Batches:
     return run
 
 
-def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
+def repeats(docs: DataFrame, parser: Parser, first_stays: bool, known: DataFrame | None = None) -> DataFrame:
     """doc, spans: for each document with repeated windows sorted stretches [a, b] of starts whose windows cover what they do.
 
-    docs: doc (long, not null), text. first_stays: a window is repeated if an equal one has a smaller (doc, start), else
+    docs: doc (long, not null), text, and what else the parser reads; known: doc, a, b of repeats that are known already.
+    first_stays: a window is repeated if an equal one has a smaller (doc, start), else
     if there is an equal one anywhere else.
     """
     spark = docs.sparkSession
@@ -190,7 +191,7 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
     closer = common.materialize(dictionary.join(common.sized_broadcast(several), "g").select("fd", "fa", (F.col("k") > FAMILY).alias("large")), "rep-closer")
 
     def place_of(b: pa.RecordBatch) -> np.ndarray:
-        return _place(b.column("fd").to_numpy(), b.column("fa").to_numpy())
+        return place(b.column("fd").to_numpy(), b.column("fa").to_numpy())
 
     def look(which: str) -> Broadcast:
         keys = closer.where(which).select("fd", "fa")
@@ -203,10 +204,10 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some_docs = (b.filter(pa.array(common.bloom_has(wanted.value, b.column("doc").to_numpy(zero_copy_only=False)))) for b in batches)
         for doc, p, finer, contents in _parsed(some_docs, parser):
-            known, place = common.bloom_has(some.value, p.g), _place(doc, p.a)
-            k = np.flatnonzero(known & common.bloom_has(small.value, place))
+            known, at = common.bloom_has(some.value, p.g), place(doc, p.a)
+            k = np.flatnonzero(known & common.bloom_has(small.value, at))
             yield row_batch(p, doc, k, contents(p.a[k], p.b[k], p.row[k]))
-            k = np.flatnonzero(known & common.bloom_has(large.value, place))
+            k = np.flatnonzero(known & common.bloom_has(large.value, at))
             for i in range(0, len(k), 5_000):
                 f = finer(k[i : i + 5_000])
                 yield row_batch(f, doc[f.of], slice(None), contents(f.a, f.b, f.row))
@@ -240,6 +241,9 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool) -> DataFrame:
             x = x.where("doc <> fd or a <> fa")
         found = found.union(x.select("doc", "a", "b"))
 
+    if known is not None:
+        found = found.union(known)
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = b.column("spans")

@@ -94,8 +94,8 @@ def _rolling(data: np.ndarray, n: int) -> np.ndarray:
     return (total[GRAM : n + GRAM] - total[:n]) * down[:n]
 
 
-def parse(texts: pa.Array) -> Iterator[Parsed]:
-    for units in _units(texts):
+def parse(rows: pa.RecordBatch) -> Iterator[Parsed]:
+    for units in _units(rows.column("text")):
         yield _phrases(*units)
 
 

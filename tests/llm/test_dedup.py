@@ -175,3 +175,43 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert common.bloom_has(filt, again).all()
     alone = np.array([r["k"] for r in keys.where("k % 7 <> 0").collect()], np.int64)
     assert common.bloom_has(filt, alone).mean() < 0.2
+
+
+def test_long_texts_are_cut_between_words():
+    rng = random.Random(5)
+    for most in (40, 300):
+        raw = b" ".join(b"w" * rng.choice([1, 2, 5, 90]) + str(i).encode() for i in range(400)) + b" "
+        words, seen = raw.split(), []
+        for before, piece in recompression.cut_long(raw, most):
+            part = piece.split()
+            assert part == words[before : before + len(part)]
+            seen += range(before, before + len(part) - recompression.SIZE + 1)
+        assert seen == list(range(len(words) - recompression.SIZE + 1))
+
+
+def test_recompression_rounds(spark):
+    """Rounds by hand on one text: the symbols spell its words, none is too long, and equal strings have equal inner symbols."""
+    rng = random.Random(6)
+    inner = [f"i{k}" for k in range(300)]
+    texts = [" ".join([f"a{rng.randrange(9)}" for _ in range(rng.randrange(5, 90))] + inner + [f"b{rng.randrange(9)}" for _ in range(50)]) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    state = recompression.recompress(recompression.stretches(df))
+    rows, shared = {r["doc"]: r for r in state.collect()}, []
+    for d, t in enumerate(texts):
+        r, at = rows[d], r"first"
+        sizes, names = np.frombuffer(r["sizes"], np.uint8), np.frombuffer(r["names"], np.uint64)
+        assert sizes.sum() == len(r["text"].split()) and sizes.max() <= 64 and np.frombuffer(r["core_sizes"], np.uint8).max() <= 8
+        start = t.split().index("i0") - r[at]
+        ends = np.cumsum(sizes)
+        inside = (ends - sizes >= start + 66) & (ends <= start + 300 - 66)
+        shared.append(names[inside].tolist())
+    assert shared[0] == shared[1] == shared[2] and len(shared[0]) > 2
+
+
+def test_recompression_registry(spark):
+    """Each pair of a round once, with its count; a second meaning of a name would start the rounds anew."""
+    df = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(80))), (2, " ".join(f"k{i}" for i in range(80)))], "doc long, text string")
+    words = recompression.stretches(df)
+    got = recompression.registry(words, 1).collect()
+    assert got and len({r["name"] for r in got}) == len(got)
+    assert all(r["n"] == 2 and r["left"] == r["_left"] and r["right"] == r["_right"] for r in got)
