@@ -22,6 +22,7 @@ a filter tells those that surely occur once. Long texts are cut into pieces that
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -201,13 +202,16 @@ def registry(state: DataFrame, r: int, seed: int = 0) -> DataFrame:
     return found.groupBy("name").agg(F.min("left").alias("left"), F.max("left").alias("_left"), F.min("right").alias("right"), F.max("right").alias("_right"), F.sum("n").alias("n"))
 
 
-def recompress(words: DataFrame, seed: int = 0) -> DataFrame:
-    """doc, first, text, core and core_sizes (the symbols after CORE rounds), names and sizes (those after all)."""
+def recompress(words: DataFrame, seed: int = 0) -> DataFrame | None:
+    """doc, first, text, core and core_sizes (the symbols after CORE rounds), names and sizes (those after all); None if a name
+    has two meanings. The tables of earlier rounds, that of the words too, go as soon as the next is there."""
     state = words
     for r in range(LEVELS + 1):
         clash = registry(state, r, seed).where("left <> _left or right <> _right").limit(1).count()
+        common.release(words.sparkSession)
         if clash:
-            return recompress(words, seed + 1)
+            common.discard(state)
+            return None
 
         def put(batches: Iterator[pa.RecordBatch], r: int = r) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -222,8 +226,7 @@ def recompress(words: DataFrame, seed: int = 0) -> DataFrame:
         kept = [c for c in state.columns if c not in ("names", "sizes")]
         schema = ", ".join(["doc long, first long", *(f"{c} binary" for c in kept[2:]), "names binary, sizes binary", *["core binary, core_sizes binary"] * (r == CORE)])
         after = common.materialize(state.select(*kept, "names", "sizes").mapInArrow(common.frugal(put), schema), f"rec-{r}")
-        if r:
-            common.discard(state)
+        common.discard(state)
         state = after
     return state
 
@@ -377,12 +380,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     common.bound_batches(docs.sparkSession)
-    words = stretches(x.where("doc is not null and text is not null"))
-    state = recompress(words)
+    tries = (recompress(stretches(x.where("doc is not null and text is not null")), seed) for seed in itertools.count())
+    state = next(s for s in tries if s is not None)
     seen, entries, looked_into = long_symbols(state)
     known = seen.join(entries.where("n > 1"), "name").select("doc", "a", "b")
     spans = repeats(state, Words(looked_into), first_stays=False, known=known)
-    common.discard(words, state, seen, entries)
+    common.discard(state, seen, entries)
     return with_spans(x, spans, _kept, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
