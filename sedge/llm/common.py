@@ -208,12 +208,12 @@ def _trim() -> None:
 
 
 def frugal(run: Batches) -> Batches:
-    """run, which hands memory back: workers are kept for later tasks, more of them than run at a time. Arrays of 256 kB and
+    """run, which hands memory back: workers are kept for later tasks, more of them than run at a time. Arrays of 1 MB and
     more go back as soon as they are free (glibc would raise that bound by itself), the rest when a task ends."""
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         try:
             yield from run(batches)
         finally:

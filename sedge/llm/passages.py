@@ -160,10 +160,11 @@ def _family(parser: Parser, first_stays: bool) -> Batches:
     return run
 
 
-def repeats(docs: DataFrame, parser: Parser, first_stays: bool, known: DataFrame | None = None) -> DataFrame:
+def repeats(docs: DataFrame, parser: Parser, first_stays: bool, known: DataFrame | None = None, spent: bool = False) -> DataFrame:
     """doc, spans: for each document with repeated windows sorted stretches [a, b] of starts whose windows cover what they do.
 
-    docs: doc (long, not null), text, and what else the parser reads; known: doc, a, b of repeats that are known already.
+    docs: doc (long, not null), text, and what else the parser reads; known: doc, a, b of repeats that are known already; spent: docs is a scratch table
+    that nothing needs afterwards.
     first_stays: a window is repeated if an equal one has a smaller (doc, start), else
     if there is an equal one anywhere else.
     """
@@ -216,6 +217,8 @@ def repeats(docs: DataFrame, parser: Parser, first_stays: bool, known: DataFrame
         return pa.RecordBatch.from_pydict({"g": p.g[k].view(np.int64), "c": p.c[k].view(np.int64), "doc": doc[k], "a": p.a[k].astype(np.int64), "b": p.b[k].astype(np.int64), "content": pa.array(contents, pa.binary())})
 
     seen = common.materialize(docs.mapInArrow(common.frugal(members), "g long, c long, doc long, a long, b long, content binary"), "rep-members")
+    if spent:
+        common.discard(docs)
     # Stretches that occur again are repeated whole; of each the first meets those of its family.
     own = seen.groupBy("g", "c").agg(F.min(F.struct("doc", "a", "content")).alias("m"), F.count(F.lit(1)).alias("n"))
     own = common.materialize(own.select("g", "c", F.col("m.doc").alias("fd"), F.col("m.a").alias("fa"), F.col("m.content").alias("content"), "n"), "rep-own")

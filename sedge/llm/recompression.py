@@ -384,8 +384,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     state = next(s for s in tries if s is not None)
     seen, entries, looked_into = long_symbols(state)
     known = seen.join(entries.where("n > 1"), "name").select("doc", "a", "b")
-    spans = repeats(state, Words(looked_into), first_stays=False, known=known)
-    common.discard(state, seen, entries)
+    spans = repeats(state, Words(looked_into), first_stays=False, known=known, spent=True)
+    common.discard(seen, entries)
     return with_spans(x, spans, _kept, "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
 
 
