@@ -73,3 +73,12 @@ def repository_key(url: Column) -> Column:
     """`repo-` and the url's last segment in lower case without `.git` (PRJ-9)."""
     last = F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
     return F.concat(F.lit("repo-"), F.lower(F.replace(last, F.lit(".git"), F.lit(""))))
+
+
+#: An http or https URL with a host; the same in RE2, Java and Python.
+URL, URL_CHARS = r"(?i)https?://[^\s/?#]+([/?#]\S*)?", 2048
+
+
+def valid_url(url: Column) -> Column:
+    """A URL that a repository may have (FLT-11); false for null."""
+    return F.coalesce(F.regexp_like(url, F.lit(f"^(?:{URL})$")) & (F.length(url) <= URL_CHARS), F.lit(False))

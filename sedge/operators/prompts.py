@@ -11,10 +11,11 @@ from ..functions import text
 
 CONTEXT_CHARS = 12_000
 CUT = "\n[...retrieved context truncated...]"
-SHAPE = {"answer": "string, what was asked for", "confidence": "string: high, medium or low", "sources": "list of strings, the files that were used", "graph_context_used": "boolean"}
-ASK_SYSTEM = "You answer questions about a code repository from the code below. Reply with one JSON object that has just the keys answer, confidence, sources and graph_context_used; no other keys, no markdown, nothing before or after it."
-SUMMARY_SHAPE = {"executive_summary": "what the repository seems to be, in a few sentences", "main_technologies": ["names"], "architecture_observations": ["what the metadata shows"], "notable_directories": ["paths and why"], "next_steps": ["what to look at next"]}
-SUMMARY_SYSTEM = "You describe a code repository from its metadata alone, for someone new to it. Reply with valid JSON only, without markdown."
+#: The keys are fixed: rowwise.parse_answer and parse_summary read them.
+SHAPE = {"answer": "text", "confidence": "high | medium | low", "sources": ["path"], "graph_context_used": True}
+ASK_SYSTEM = "Below are a question and pieces of a repository's files. Answer from these pieces; if they don't tell, say so. Your whole reply is one JSON object like required_json_shape, with its four keys."
+SUMMARY_SHAPE = {"executive_summary": "text", "main_technologies": ["text"], "architecture_observations": ["text"], "notable_directories": ["text"], "next_steps": ["text"]}
+SUMMARY_SYSTEM = "Below is what a scan of a repository found. Summarise it for a new reader; claim nothing that it doesn't show. Your whole reply is one JSON object like required_json_shape, with its five keys."
 
 
 def context(chunks: DataFrame, by: list[str], rank: str = "rank", path: str = "file_path", content: str = "content", most: int = CONTEXT_CHARS) -> DataFrame:

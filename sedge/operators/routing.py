@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .graph import DIRECT_LIMIT, Graph
 
 KEYWORDS = ("architecture", "call", "calls", "central", "depend", "dependencies", "dependency", "file", "files", "flow", "graph", "import", "imports", "module", "modules", "service", "services", "use", "uses")
+LENGTHS = (3, 2000)
 SOURCES = {"file_count": "File nodes", "module_count": "Module nodes", "module_list": "Module nodes", "files_in_module": "Module to File edges", "module_uses": "Module USES edges", "central": "IMPORTS edges"}
 
 
@@ -16,6 +17,11 @@ def wants_graph(question: Column) -> Column:
     return text.any_keyword(question, KEYWORDS)
 
 
+def acceptable(question: Column) -> Column:
+    """The length that a question may have (FLT-11)."""
+    return F.length(question).between(*LENGTHS)
+
+
 def route(question: Column) -> Column:
     """The first rule that fits the lower-cased question, else `llm`; rules are in this order."""
     q = F.lower(question)
@@ -45,8 +51,10 @@ def direct_answers(questions: DataFrame, g: Graph) -> DataFrame:
     per = files.groupBy("repository_id").agg(F.count(F.lit(1)).alias("_files"), F.array_join(F.array_sort(F.collect_set("module")), ", ").alias("_list"), F.count_distinct("module").alias("_mods"))
     x = q.join(per, "repository_id", "left").fillna(0, ["_files", "_mods"])
     # (d) files in the module that the last word names, case and punctuation included
-    inside = files.groupBy("repository_id", F.col("module").alias("_m")).agg(F.count(F.lit(1)).alias("_n"), bullets("name").alias("_names"))
-    x = x.withColumn("_m", F.when(F.col("_r") == "files_in_module", text.last_word(F.col("_low")))).join(inside, ["repository_id", "_m"], "left")
+    x = x.withColumn("_m", F.when(F.col("_r") == "files_in_module", text.last_word(F.col("_low"))))
+    of_asked = files.join(x.select("repository_id", F.col("_m").alias("module")).where("module is not null").distinct(), ["repository_id", "module"], "left_semi")
+    inside = of_asked.groupBy("repository_id", F.col("module").alias("_m")).agg(F.count(F.lit(1)).alias("_n"), bullets("name").alias("_names"))
+    x = x.join(inside, ["repository_id", "_m"], "left")
     # (e) the first module by name that the question names
     e = q.where(F.col("_r") == "module_uses").select("question_id", "repository_id", "_low")
     named = e.join(files.select("repository_id", "module").distinct(), "repository_id").where(text.names_word(F.col("_low"), F.col("module"))).groupBy("question_id", "repository_id").agg(F.min("module").alias("_u"))
@@ -54,7 +62,9 @@ def direct_answers(questions: DataFrame, g: Graph) -> DataFrame:
     x = x.join(named, ["question_id", "repository_id"], "left").join(used, ["repository_id", "_u"], "left")
     # (f) central files
     degree = g.imports.groupBy("repository_id", "target").agg(F.count("source").alias("n"))
-    best = degree.groupBy("repository_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("target").alias("t")))), 1, DIRECT_LIMIT).alias("b"))
+    # Each task keeps its own first few of a repository before the shuffle (a window group limit).
+    first = Window.partitionBy("repository_id").orderBy(F.desc("n"), "target")
+    best = degree.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= DIRECT_LIMIT).groupBy("repository_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("target").alias("t")))), 1, DIRECT_LIMIT).alias("b"))
     best = best.select("repository_id", F.array_join(F.transform("b", lambda s: F.concat(s["t"], F.lit(" ("), (-s["k"]).cast("string"), F.lit(" imports)"))), "\n").alias("_central"))
     x = x.join(best, "repository_id", "left")
     r = F.col("_r")

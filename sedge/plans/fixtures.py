@@ -77,3 +77,48 @@ REPLIES = (
 
 def rows(spark: SparkSession, data: tuple, ddl: str) -> DataFrame:
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in data], ddl)
+
+
+# ---------------------------------------------------------------- more rows, and SQL that several queries share
+
+#: Divisor of a part's key, suffix of its path in import_resolve_priority; in the order in which they are tried.
+KINDS = ((2, ".ts"), (3, ".js"), (5, "/index.ts"), (7, "/index.js"))
+QUESTION = "the thing in that hand"
+FLAGS = ("1", "true", " Yes ", "ON", "0", "false", "", "2", None)
+#: What SOURCES import, by hand.
+EXTRACTED = (
+    ("backend/api.py", "py", "backend.services"), ("backend/api.py", "py", "backend.models"), ("backend/api.py", "py", ".services.user_service"), ("backend/api.py", "py", "."), ("backend/api.py", "py", "os"),
+    ("backend/services/user_service.py", "py", "..models"), ("backend/services/user_service.py", "py", "...outside"), ("backend/services/user_service.py", "py", "backend.services.user_service"),
+    ("frontend/src/App.tsx", "js", "./util"), ("frontend/src/App.tsx", "js", "../lib"), ("frontend/src/App.tsx", "js", "./user.service"), ("frontend/src/App.tsx", "js", "./exact.js"), ("frontend/src/App.tsx", "js", "react"), ("frontend/src/App.tsx", "js", "../../../out"),
+    ("frontend/src/util.ts", "js", "./App"), ("main.py", "py", "frontend"), ("main.py", "py", "backend"),
+)
+RESOLVED = (
+    ("backend/api.py", "backend/services/__init__.py"), ("backend/api.py", "backend/models.py"), ("backend/api.py", "backend/services/user_service.py"), ("backend/services/user_service.py", "backend/models.py"),
+    ("frontend/src/App.tsx", "frontend/src/util.ts"), ("frontend/src/App.tsx", "frontend/lib/index.js"), ("frontend/src/App.tsx", "frontend/src/exact.js"), ("frontend/src/util.ts", "frontend/src/App.tsx"),
+)
+_NOT_JSON, _SHAPELESS = "The generator''s reply is not valid JSON.", "The generator''s reply does not have the expected shape."
+PARSED = f"(1, 'a', 'high', true, NULL), (2, 'b', 'low', false, NULL), (3, NULL, NULL, NULL, '{_NOT_JSON}'), (4, 'c', 'sure', false, NULL), (5, NULL, NULL, NULL, '{_SHAPELESS}'), (6, NULL, NULL, NULL, '{_SHAPELESS}')"
+
+#: CTEs that give sim (k, similarity to QUESTION) of t (k, text), by the default embedder's rule.
+EMBED = rf"""
+tw AS (SELECT k, translate(unnest(regexp_extract_all(text, '[A-Za-z][a-z]*|[0-9]+|[^\x00-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM t),
+qw AS (SELECT unnest(string_split('{QUESTION}', ' ')) AS w),
+wh AS (SELECT w, (h // 2) % 384 AS cell, CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END AS s FROM (SELECT w, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM (SELECT w FROM tw UNION SELECT w FROM qw))),
+tv AS (SELECT k, cell, CAST(sum(s) AS DOUBLE) AS v FROM tw JOIN wh USING (w) GROUP BY k, cell),
+qv AS (SELECT cell, CAST(sum(s) AS DOUBLE) AS u FROM qw JOIN wh USING (w) GROUP BY cell),
+sc AS (SELECT k, coalesce(sum(v * u), 0) / nullif(sqrt(sum(v * v)) * (SELECT sqrt(sum(u * u)) FROM qv), 0) AS similarity FROM tv LEFT JOIN qv USING (cell) GROUP BY k),
+sim AS (SELECT t.k, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(similarity, 0) END AS similarity FROM t LEFT JOIN sc USING (k))"""
+
+
+def chunk_sql(size: int, overlap: int, table: str = "documents", key: str = "doc_id") -> str:
+    return rf"""
+SELECT {key}, CAST(i AS INTEGER) AS chunk_index, CAST(i * {size - overlap} + 1 AS INTEGER) AS start_line, CAST(least(i * {size - overlap} + {size}, n) AS INTEGER) AS end_line,
+       array_to_string(l[i * {size - overlap} + 1 : i * {size - overlap} + {size}], chr(10)) AS content
+FROM (SELECT {key}, l, len(l) AS n, unnest(range(CAST(ceil(len(l) / {size - overlap}.0) AS BIGINT))) AS i
+      FROM (SELECT {key}, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT {key}, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM {table})))
+"""
+
+
+def values(rows: tuple) -> str:
+    lit = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(lit, r if isinstance(r, tuple) else (r,))) + ")" for r in rows)

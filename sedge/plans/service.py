@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import Settings
 from ..errors import AskError, GeneratorError, IndexingError, RequestError, SummaryError
-from ..functions import rowwise
+from ..functions import paths, rowwise
 from ..operators import chunking, embedding, generators, graph, metadata, prompts, retrieval, routing
 from ..session import register
 from ..sources import git
 from .store import Store
 
 log = logging.getLogger("sedge")
-_URL = re.compile(r"https?://[^\s/?#]+([/?#]\S*)?", re.IGNORECASE)
 
 
 def index_trees(spark: SparkSession, store: Store, trees: dict[str, str], make: Callable[[], embedding.Embedder] = embedding.HashingEmbedder) -> dict[str, str]:
@@ -49,7 +48,7 @@ def index_trees(spark: SparkSession, store: Store, trees: dict[str, str], make:
     return ids
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str | None:
     """Where executors can read a clone: spark.checkpoint.dir, if that is a mounted folder; else (None) only local runs can."""
     root = spark.conf.get("spark.checkpoint.dir", None) or ""
     root = re.sub("^file:(//)?(?=/)", "", root)
@@ -63,9 +62,9 @@ def _shared_folder(spark: SparkSession) -> str | None:
 
 def index_repository(spark: SparkSession, store: Store, url: str, path: str | None = None, make: Callable[[], embedding.Embedder] = embedding.HashingEmbedder) -> dict:
     """Index one repository from its url, or from a folder that holds it already; returns what a client is told."""
-    if not _URL.fullmatch(url or "") or len(url) > 2048:
+    if not re.fullmatch(paths.URL, url or "") or len(url) > paths.URL_CHARS:
         raise RequestError("repo_url must be an http or https URL of at most 2048 characters.")
-    with tempfile.TemporaryDirectory(prefix="sedge-clone-", dir=_shared_folder(spark)) as folder:
+    with tempfile.TemporaryDirectory(prefix="sedge-clone-", dir=shared_folder(spark)) as folder:
         if path is None:
             path = f"{folder}/repository"
             git.clone(url, path)
@@ -82,7 +81,7 @@ def index_repository(spark: SparkSession, store: Store, url: str, path: str | No
 
 def ask(spark: SparkSession, store: Store, repository_id: str, question: str, generator: generators.Generator | None = None, make: Callable[[], embedding.Embedder] = embedding.HashingEmbedder, k: int = retrieval.TOP_K) -> dict:
     """Answer one question: by a graph rule if one fits, else by a generator over the nearest chunks."""
-    if not repository_id or not 3 <= len(question) <= 2000:
+    if not repository_id or not routing.LENGTHS[0] <= len(question) <= routing.LENGTHS[1]:
         raise RequestError("A question has 3 to 2000 characters and names a repository.")
     store.repository(repository_id)
     store.latest_report(repository_id)

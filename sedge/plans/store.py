@@ -80,6 +80,10 @@ class Store:
         row = self.repositories().where(F.col("repo_url") == url).limit(1).first()
         return row.asDict(recursive=True) if row else None
 
+    def latest_reports(self) -> DataFrame:
+        """The latest report of each repository."""
+        return latest(self.reports(), ["repository_id"], "created_at", "id")
+
     def latest_report(self, repository_id: str) -> dict:
         row = latest(self.reports().where(F.col("repository_id") == repository_id), ["repository_id"], "created_at", "id").first()
         if row is None:
