@@ -33,7 +33,7 @@ _PLACES = SIZE - GRAM + 1
 #: A place within the bytes parsed at once, which are fewer.
 _LOW = np.uint64((1 << 24) - 1)
 #: A longer text is parsed in stretches of so many starts; phrases then end there too, which changes no result.
-STRETCH = 1 << 18
+STRETCH = 1 << 16
 _Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 

@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are worked on at once; a longer document is worked on whole, at some 60 bytes a byte of text.
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 
 def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
