@@ -8,7 +8,8 @@ the document can only start at p - o, within the document's length. What is left
 document.
 
 The sides that are broadcast hold benchmark windows, never corpus rows, and only up to common.BROADCAST_ROWS rows, which
-are counted first; beyond that Spark shuffles.
+are counted first. Of more shingles than that the first pass is made in blocks, one broadcast each, so that the corpus is
+read again for each million of them but its shingles are never shuffled; the other sides are then shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same for text that is not lower-cased.
+MIXED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE, SHINGLE = 13, 3
 
 
@@ -30,6 +32,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def count_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), MIXED), "")).cast("long")
+
+
 def _shingles(w: Column, j: int) -> Column:
     """64-bit hashes of j consecutive words by their first position; an empty array for fewer words."""
     n = F.size(w)
@@ -51,11 +57,13 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
     contaminated: at least one word is hit and 20 * n_hit >= n_words. Null and wordless texts have no words and hit
     nothing; wordless items have no window. Repeated ids and rows are each judged on their own text. With no items all
     counts are 0 and items_sha256 is that of the empty string. Item ids are compared and joined as strings; a null item
-    id is left out of the list.
+    id is left out of the list. A text of any length is one array of words; with the windows that may be in it, it fits a task.
     """
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     rest = [c for c in docs.columns if c not in new]
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("_k")
+    # A document is named by 128 bits of its id and text.
+    named = F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(*named).alias("a"), F.xxhash64(F.lit(1), *reversed(named)).alias("b")).alias("_k")
     of_items = common.materialize(windows(bench, size), "decon-windows")
     n_windows = of_items.count()
     lengths = sorted({min(shingle, r["len"]) for r in of_items.select("len").distinct().collect()})  # at most `size` rows
@@ -67,7 +75,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
         parts.append(distinct.where(short).withColumn("w", F.split("window", " ")).select("window", "len", "w").select("window", "len", F.posexplode(_shingles(F.col("w"), j)).alias("o", "h")))
 
     parsed = docs.select(key, words(F.col(text_col)).alias("w"))
-    base = docs.select(*rest, key).withColumn("n_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    base = docs.select(*rest, key, count_words(F.col(text_col)).alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
         return base.select(*rest, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
@@ -77,20 +85,24 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
     grams = common.materialize(grams, "decon-grams")
     n_grams = grams.count()
     # Pass one: where each benchmark shingle stands in the corpus, and how often.
-    known = common.sized_broadcast(grams.select("h").distinct(), n_grams)
-    placed = [parsed.select("_k", F.posexplode(_shingles(F.col("w"), j)).alias("p", "h")).join(known, "h", "left_semi") for j in lengths]
+    blocks = -(-n_grams // common.BROADCAST_ROWS)
+    every = [parsed.select("_k", F.posexplode(_shingles(F.col("w"), j)).alias("p", "h")) for j in lengths]
+    known = grams.select("h").distinct()
+    if blocks > 1:
+        every = [x.where(F.pmod("h", F.lit(blocks)) == i) for x in every for i in range(blocks)]
+    placed = [x.join(F.broadcast(known.where(F.pmod("h", F.lit(blocks)) == k % blocks)), "h", "left_semi") for k, x in enumerate(every)]
     placed = common.materialize(reduce(DataFrame.unionByName, placed), "decon-places")
     often = common.materialize(placed.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "decon-rarity")
     # The rarest shingle of each window; a window with a shingle that the corpus lacks can't occur.
     ranked = grams.join(common.sized_broadcast(often, n_grams), "h", "left")
     prefix = ranked.groupBy("window", "len").agg(F.min(F.coalesce("often", F.lit(0))).alias("least"), F.min(F.struct(F.coalesce("often", F.lit(0)), "h", "o")).alias("m")).where("least > 0").select(F.col("m.h").alias("h"), F.col("m.o").alias("o"), "len", "window")
-    prefix = common.sized_broadcast(common.materialize(prefix, "decon-prefix"))
+    prefix = common.materialize(prefix, "decon-prefix")
     # Pass two: only prefix shingles join; positional and length bounds.
     start = (F.col("p") - F.col("o")).alias("s")
-    cand = placed.join(prefix, "h").select("_k", start, "len", "window").where("s >= 0")
+    cand = placed.join(common.sized_broadcast(prefix), "h").select("_k", start, "len", "window").where("s >= 0")
     cand = common.materialize(cand.groupBy("_k").agg(F.collect_set(F.struct("s", "len", "window")).alias("cand")), "decon-candidates")
     ids = common.sized_broadcast(cand.select("_k"))
-    texts = parsed.join(ids, "_k", "left_semi").dropDuplicates(["_k"])
+    texts = docs.select(key, F.col(text_col).alias("_t")).join(ids, "_k", "left_semi").dropDuplicates(["_k"]).select("_k", words(F.col("_t")).alias("w"))
     found = F.filter("cand", lambda c: (c["s"] + c["len"] <= F.size("w")) & (F.array_join(F.slice(F.col("w"), c["s"] + 1, c["len"]), " ") == c["window"]))
     found = texts.join(cand, "_k").select("_k", found.alias("found")).where(F.size("found") > 0)
     spans = F.array_sort(F.transform("found", lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"]).alias("e"))))
@@ -101,6 +113,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = SIZE, shingle:
     items = items.groupBy("_k").agg(F.array_sort(F.collect_list("item")).alias("items"))
     result = hits.select("_k", "n_hit").join(items, "_k", "left").select("_k", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     result = common.sized_broadcast(common.materialize(result, "decon-result"))
+    common.discard(of_items, grams, placed, often, prefix, cand, hits)
     judged = base.join(result, "_k", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return judged.select(*rest, "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))

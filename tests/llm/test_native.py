@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.llm import decontaminate, license_scan, mixing, queries, url_filter
+from sedge.llm import common, decontaminate, license_scan, mixing, queries, url_filter
 from sedge.llm.license_texts import TEXTS
 
 from . import brute
@@ -70,6 +70,15 @@ def test_known_digests_are_distinct(spark):
 # ---------------------------------------------------------------- decontamination
 
 
+def test_contamination_in_blocks(spark, docs, texts, monkeypatch):
+    """More shingles and windows than are broadcast at once: blocks of them, and shuffled sides."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 700)
+    monkeypatch.setattr(common.sized_broadcast, "__defaults__", (None, 0))
+    got = decontaminate.contamination(docs, bench)
+    assert {r[0]: tuple(r[1:]) for r in rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")} == brute.leaks(texts, rows_of(bench, "item_id", "text"))
+
+
 def test_contamination(spark, docs, texts):
     items = rows_of(spark.read.parquet(f"{DATA}/benchmark.parquet"), "item_id", "text")
     items += [(900, None), (901, ""), (902, "one"), (903, "two words"), (904, "a a a a a a a a a a a a a a"), (905, " ".join(f"p{i}" for i in range(30))), (906, "two words"), (907, "É é")]
