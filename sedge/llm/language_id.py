@@ -26,14 +26,10 @@ _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else
 _PIECE, _ROWS = 1 << 20, 128
 
 
-def count_grams(parts: list[bytes], dims: int = DIMS) -> np.ndarray:
-    """Row i: hashed n-gram counts of the i-th text."""
-    out = np.zeros((len(parts), dims), np.float32)
-    sep = b" "
-    joined = sep + sep.join(p.translate(_FOLD) + sep for p in parts)
-    b = np.frombuffer(joined, np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(p) + 2 for p in parts])
-    row = np.repeat(np.arange(len(parts), dtype=np.int64), np.diff(np.concatenate([[0], ends])))[: len(b)]
+def _count(b: np.ndarray, row: np.ndarray, rows: int, dims: int, lead: int = 0) -> np.ndarray:
+    """Hashed counts of the n-grams of folded bytes, by row; of those that end at `lead` or later."""
+    out = np.zeros((rows, dims), np.float32)
+    b = b.astype(np.uint32)
     code = np.zeros(len(b), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         m = len(b) - n + 1
@@ -45,6 +41,7 @@ def count_grams(parts: list[bytes], dims: int = DIMS) -> np.ndarray:
         ok = (row[:m] == row[n - 1 :]) & ~((b[:m] == 32) & (b[min(1, n - 1) : m + min(1, n - 1)] == 32))
         if n == 3:
             ok &= ~((b[1 : m + 1] == 32) & (b[2 : m + 2] == 32))
+        ok[: max(0, lead - n + 1)] = False
         h = code * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         at = row[:m][ok] * dims + (h[ok] >> np.uint32(32 - int(np.log2(dims))))
@@ -52,8 +49,15 @@ def count_grams(parts: list[bytes], dims: int = DIMS) -> np.ndarray:
     return out
 
 
+def count_grams(parts: list[bytes], dims: int = DIMS) -> np.ndarray:
+    """Row i: hashed n-gram counts of the i-th text, with a blank at both ends."""
+    joined = b"".join(b" " + p.translate(_FOLD) + b" " for p in parts)
+    row = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) + 2 for p in parts])
+    return _count(np.frombuffer(joined, np.uint8), row, len(parts), dims)
+
+
 def vectors(texts: list[bytes], dims: int = DIMS) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts) for runs of rows; memory is bounded by _ROWS rows and about _PIECE bytes."""
+    """(first row, counts) for runs of rows; memory is bounded by _ROWS rows and about _PIECE bytes beside the texts."""
     i = 0
     while i < len(texts):
         j, total = i, 0
@@ -61,13 +65,12 @@ def vectors(texts: list[bytes], dims: int = DIMS) -> Iterator[tuple[int, np.ndar
             total += len(texts[j])
             j += 1
         if j == i + 1 and total > _PIECE:
-            t = texts[i]
+            folded = b" " + texts[i].translate(_FOLD) + b" "
             whole = np.zeros((1, dims), np.float32)
-            k = 0
-            while k < len(t):  # cut at a blank where there is one, so that no n-gram is lost or made up
-                e = len(t) if len(t) - k <= _PIECE else max(t.rfind(b" ", k + 1, k + _PIECE), 0) or k + _PIECE
-                whole += count_grams([t[k:e]], dims)
-                k = e
+            for k in range(0, len(folded), _PIECE):  # each n-gram counts in the piece that it ends in
+                lead = min(k, max(GRAMS) - 1)
+                part = np.frombuffer(folded[k - lead : k + _PIECE], np.uint8)
+                whole += _count(part, np.zeros(len(part), np.int64), 1, dims, lead)
             yield i, whole
         else:
             yield i, count_grams(texts[i:j], dims)
