@@ -3,10 +3,12 @@
 A text becomes the hashed counts of its byte n-grams (1 to 3 bytes; ASCII folded to lower case, other ASCII signs to
 blanks), square-rooted, weighted by inverse document frequency and normalised. Each language's training vectors are
 clustered by spherical k-means; a text gets the language of the centroid with the largest cosine. It is rejected if that
-cosine is under the centroid language's limit, SLACK times the least cosine that a training text of the language has.
+cosine is under the language's limit for texts of its length: SLACK times the LOW quantile of its training texts of such a
+length, by number of n-grams (LENGTHS); of fewer than FEW such texts, SLACK times the least cosine of all of the language's.
 
-Training takes about SAMPLE rows at most, shared over the languages, picked by a hash of the id: that is the bound on
-what reaches the driver and on the broadcast model (languages * CLUSTERS * DIMS floats). Prediction covers whole texts.
+Training takes about SAMPLE rows at most, shared over the languages and picked by a hash of the id, and the LANGUAGES most
+frequent languages at most: that bounds what reaches the driver and the broadcast model (languages * CLUSTERS * DIMS floats).
+Prediction covers whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIMS, GRAMS, CLUSTERS, SAMPLE, SLACK, SEED = 1 << 13, (1, 2, 3), 3, 4000, 0.5, 5
+DIMS, GRAMS, CLUSTERS, SAMPLE, LANGUAGES, SEED = 1 << 13, (1, 2, 3), 3, 4000, 1000, 5
+SLACK, LOW, LENGTHS, FEW = 0.6, 0.01, (100, 300, 1000), 10
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 #: Bytes of text that one call of vectors() works on; a longer text is cut into pieces whose counts add up.
 _PIECE, _ROWS = 1 << 20, 128
@@ -97,8 +100,19 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The place of each row's number of n-grams among LENGTHS."""
+    return np.searchsorted(LENGTHS, counts.sum(1), "right")
+
+
+def limits(cosine: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By length class, from a language's training texts: their cosines and length classes."""
+    own = [cosine[length == i] for i in range(len(LENGTHS) + 1)]
+    return SLACK * np.array([np.quantile(c, LOW) if len(c) >= FEW else cosine.min() for c in own])
+
+
 class Model:
-    """idf, centroids, their languages and the cosine under which each rejects."""
+    """idf, centroids, their languages and the cosines under which each rejects, by length."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limit: np.ndarray):
         self.langs, self.idf, self.centroids, self.owner, self.limit = langs, idf, centroids, owner, limit
@@ -112,12 +126,19 @@ def has_letter(text: Column) -> Column:
 
 
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, clusters: int = CLUSTERS, seed: int = SEED) -> Model | None:
-    """Learn from rows with a language and a letter; None if there are none."""
+    """Learn from rows with a language and a letter; None if there are none.
+
+    Of languages of equal count the first by name are kept. Rows that repeat an id are picked or left together; which rows
+    are picked, and in which order they are clustered, hangs on ids and texts only. Null ids share one hash.
+    """
     good = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    count = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    count = {r["lang"]: r["n"] for r in most.collect()}
     if not count:
         return None
-    quota = max(8, sample // len(count))
+    if len(count) == LANGUAGES:
+        good = good.where(F.col("lang").isin(*count))
+    quota = max(1, sample // len(count))
     scale = 1 << 20
     share = F.lit(scale)
     for lang, n in sorted(count.items()):
@@ -146,12 +167,13 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         own = np.zeros((len(rows), DIMS), np.float32)
         for i, r in enumerate(rows):
             own[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
+        length = length_class(own)
         for i in range(0, len(own), _ROWS):
             own[i : i + _ROWS] = normalise(tf(own[i : i + _ROWS]) * idf)
         c = k_means(own, clusters, seed)
         centroids.append(c)
         owner += [k] * len(c)
-        limit += [SLACK * float((own @ c.T).max(1).min())] * len(c)
+        limit += [limits((own @ c.T).max(1), length)] * len(c)
     return Model(langs, idf, np.concatenate(centroids), np.array(owner), np.array(limit, np.float32))
 
 
@@ -160,7 +182,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     lang_pred is `und`, score 0 and rejected true for null texts, texts without a letter and without a model. A text
     whose letters give no n-gram weight has cosine 0 with all centroids and gets the first language, rejected. Equal
-    cosines go to the first centroid by language. Repeated rows are each predicted.
+    cosines go to the first centroid by language. Repeated rows are each predicted. Texts of any length are counted whole.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +201,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 rows = at[i : i + len(counts)]
                 pred[rows] = np.array(m.langs, object)[m.owner[best]]
                 score[rows] = np.clip(cos.max(1), 0, 1)
-                off[rows] = cos.max(1) < m.limit[best]
+                off[rows] = cos.max(1) < m.limit[best, length_class(counts)]
         return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": off})
 
     out = docs.select(*rest).withColumn("_p", predict(F.when(has_letter(F.col(text_col)), F.col(text_col))))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -50,6 +51,102 @@ def test_counts_of_a_long_text_add_up():
     assert float((a * b).sum()) > 0.999
 
 
+def test_counts_do_not_hang_on_pieces(monkeypatch):
+    """A text without blanks, and one with, in pieces and whole."""
+    rng = np.random.default_rng(1)
+    for t in (bytes(rng.integers(97, 123, 5000, dtype=np.uint8)), b"ab c  d. " * 700 + "é".encode() * 90):
+        whole = language_id.count_grams([t])
+        monkeypatch.setattr(language_id, "_PIECE", 37)
+        ((i, c),) = language_id.vectors([t])
+        monkeypatch.undo()
+        assert i == 0 and np.array_equal(c, whole)
+
+
+def plain_counts(text):
+    """N-grams of a text by hand: 1 to 3 folded bytes, of blanks only single ones beside a sign."""
+    b = b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + b" "
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            g = b[i : i + n]
+            if b"  " in g or g == b" ":
+                continue
+            code = 0
+            for c in g:
+                code = ((code * 0x01000193) & 0xFFFFFFFF) ^ c
+            h = (code * 0x9E3779B1 + n * 0x85EBCA6B) & 0xFFFFFFFF
+            out[((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 19] += 1
+    return out
+
+
+def test_prediction_by_hand(spark, docs):
+    """Vectors, cosines, languages, scores and rejections of some texts in plain Python, from the model's centroids."""
+    model = language_id.trained_on(docs)
+    some = docs.where("doc_id % 9 = 0 and length(text) < 4000").select("doc_id", "text")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in language_id.classify(some, model).collect()}
+    told = 0
+    for d, t in rows_of(some, "doc_id", "text"):
+        if not re.search(r"[^\W\d_]", t):
+            continue
+        counts = plain_counts(t)
+        v = {k: n**0.5 * float(model.idf[k]) for k, n in counts.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / size if size else 0.0 for c in model.centroids]
+        best = max(range(len(cos)), key=lambda i: cos[i])
+        length = sum(n >= at for at in language_id.LENGTHS for n in [sum(counts.values())])
+        lang, score, rejected = got[d]
+        assert abs(score - max(0, min(1, cos[best]))) < 1e-4
+        if sorted(cos)[-1] - sorted(cos)[-2] > 1e-4:
+            assert lang == model.langs[model.owner[best]]
+            told += 1
+        if abs(cos[best] - model.limit[best][length]) > 1e-4:
+            assert rejected == (cos[best] < model.limit[best][length])
+    assert told > 15
+
+
+def test_k_means_by_hand():
+    rng = np.random.default_rng(3)
+    x = language_id.normalise(rng.random((60, 8)).astype(np.float32))
+    got = language_id.k_means(x, 3, 7)
+    c = x[np.random.default_rng(7).choice(60, 3, replace=False)]
+    for _ in range(12):
+        groups = [[] for _ in c]
+        for v in x:
+            groups[max(range(len(c)), key=lambda i: float(v @ c[i]))].append(v)
+        sums = [np.sum(g, axis=0) if g else c[i] for i, g in enumerate(groups)]
+        c = np.array([v / np.linalg.norm(v) for v in sums])
+    assert np.allclose(got, c, atol=1e-4)
+
+
+def test_rejection_by_distance(spark, docs):
+    """Long texts of languages that were not learned go, short clean ones stay."""
+    other = {
+        "it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. Ahi quanto a dir qual era e cosa dura questa selva selvaggia e aspra e forte",
+        "fi": "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto, ja heidan on toimittava toisiaan kohtaan veljeyden hengessa.",
+        "code": "def f(x):\n    return [i*i for i in range(x) if i % 2 == 0]\nclass A(object):\n    def __init__(self, value):\n        self.value = value\n",
+    }
+    rows = [(i, k, " ".join([t] * 10)) for i, (k, t) in enumerate(other.items())]
+    model = language_id.trained_on(docs)
+    assert all(r["rejected"] for r in language_id.classify(spark.createDataFrame(rows, "doc_id long, k string, text string"), model).collect())
+    clean = docs.where("doc_id < 1000000 and lang is not null and length(text) between 40 and 400")
+    got = language_id.classify(clean, model).collect()
+    assert sum(r["rejected"] for r in got) <= 0.02 * len(got)
+
+
+def test_sample_keeps_its_bound(spark):
+    """As many languages as rows: the most frequent are learned, a row or so of each."""
+    rows = [(i, f"some words of text number {i}", f"l{i % 90:02}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, sample=45)
+    assert len(model.centroids) <= 200
+    few = language_id.LANGUAGES
+    try:
+        language_id.LANGUAGES = 5
+        assert language_id.fit(df).langs == [f"l{i:02}" for i in range(5)]
+    finally:
+        language_id.LANGUAGES = few
+
+
 def test_same_model_whatever_the_partitions(docs):
     a, b = (language_id.trained_on(docs.repartition(n)) for n in (1, 7))
     assert np.array_equal(a.centroids, b.centroids) and np.array_equal(a.idf, b.idf)
