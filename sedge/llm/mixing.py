@@ -4,6 +4,9 @@ Targets share all tokens by weight, no source above `most` times its own (water
 sources by highest quotients target / (2 q + 1), then a source's blocks to its shards in the same way by the shards'
 tokens. A shard is a bounded set of documents, picked by a seeded hash of the id. In a shard, documents stand in seeded
 order and form one stream of blocks; its quota takes the stream whole as often as it fits, then the first blocks of it.
+
+Order and quotas are worked out on (source, hash, id, size) rows. What documents need to know of their shard is where its
+last block ends: one row for each shard, so that no text is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ SHARD_WORDS, SHARD_ROWS, SHARDS = 1 << 17, 512, 1 << 16
 
 def size_of(text: Column) -> Column:
     """Number of runs of non-blank characters; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -72,14 +75,17 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     """All columns of docs and size, source_size, target, taken (columns of these names are replaced).
 
     Null sources are one source, the last; null and blank texts have size 0 and are never taken. Rows that repeat are
-    each a document of the mix. Equal ids fall together in the seeded order and then go by size. An empty table gives no
-    rows. The table of sources (one row each) is broadcast only up to common.BROADCAST_ROWS.
+    each a document of the mix. Equal ids fall together in the seeded order and then go by size; where a quota ends among
+    rows of equal id and size, each takes the same, and the rest of fewer words than such rows is left. An empty table gives
+    no rows. Texts of any length count whole. The tables of sources and of shards (one row each, under about 2 * SHARDS and
+    the sources) are broadcast only up to common.BROADCAST_ROWS.
     """
     spark = docs.sparkSession
     new = ["size", "source_size", "target", "taken"]
     rest = [c for c in docs.columns if c not in new]
-    lot = F.xxhash64(F.lit(seed), F.col(id_col))
-    sized = common.materialize(docs.select(F.col(source_col).alias("source"), lot.alias("_lot"), size_of(F.col(text_col)).alias("size")), "mix-sizes")
+    place = F.struct(F.xxhash64(F.lit(seed), F.col(id_col)).alias("lot"), F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(source_col).alias("source"), place.alias("_at"))
+    sized = common.materialize(sized.select("source", "_at", F.col("_at.size").alias("size")), "mix-sizes")
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     aimed = targets(by_source, weights, most).withColumn("_all", F.lit(0))
@@ -93,21 +99,32 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
         side = aimed.select(*(F.col(c).alias(f"_s_{c}") for c in aimed.columns))
         return df.join(common.sized_broadcast(side, n_sources), df[column].eqNullSafe(side["_s_source"]))
 
-    shard = F.pmod(F.col("_lot"), F.col("_s__shards")).alias("_shard")
-    shards = with_source(sized, "source").groupBy("source", shard).agg(F.sum("size").alias("_w"), F.first("_s_source_size").alias("_s"), F.first("_s__blocks").alias("_b"))
+    shard = F.pmod(F.col("_at.lot"), F.col("_s__shards")).alias("_shard")
+    dealt = with_source(sized, "source")
+    shards = dealt.groupBy("source", shard).agg(F.sum("size").alias("_w"), F.first("_s_source_size").alias("_s"), F.first("_s__blocks").alias("_b"))
     shards = sainte_lague(shards, ["source"], ["_shard"], "_w", F.col("_s"), F.col("_b"), "_q")
     take = F.least(F.col("_q") * block, F.col("_w") * most)
-    shards = common.materialize(shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_w", take.alias("_take")), "mix-shards")
-
-    full = docs.select(*rest, size_of(F.col(text_col)).alias("size"), lot.alias("_lot"))
-    full = with_source(full, source_col).withColumn("_shard", shard)
-    order = Window.partitionBy(source_col, "_shard").orderBy("_lot", F.col(id_col).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    full = full.withColumn("_at", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    side = common.sized_broadcast(shards)
-    full = full.join(side, full[source_col].eqNullSafe(side["_src"]) & (full["_shard"] == side["_sh"]))
     whole = F.when(F.col("_w") > 0, F.expr("_take div _w")).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("_at") + F.col("size"), F.col("_take") - whole * F.col("_w")) - F.col("_at"))
-    return full.select(*rest, "size", F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), (whole * F.col("size") + part).cast("long").alias("taken"))
+    shards = shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_w", take.alias("_take"))
+    shards = common.materialize(shards.select("_src", "_sh", whole.alias("_whole"), (F.col("_take") - whole * F.col("_w")).alias("_rest")), "mix-shards")
+
+    # Where the last round of a shard ends: at the first place by which more words than are left have passed.
+    order = Window.partitionBy("source", "_shard").orderBy("_at")
+    past = F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    alike = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    stream = dealt.select("source", shard, "_at", "size").withColumns({"_past": past, "_n": alike})
+    passed = stream.join(common.sized_broadcast(shards), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_shard") == F.col("_sh"))).where("_past > _rest")
+    edge = F.min(F.struct("_at", F.expr("(_rest - (_past - size * _n)) div _n").alias("part"))).alias("_edge")
+    ends = passed.groupBy("_src", "_sh").agg(edge, F.first("_whole").alias("_whole"))
+    ends = common.materialize(shards.select("_src", "_sh").join(ends.withColumnsRenamed({"_src": "_e", "_sh": "_es"}), F.col("_src").eqNullSafe(F.col("_e")) & (F.col("_sh") == F.col("_es")), "left").select("_src", "_sh", "_edge", "_whole"), "mix-ends")
+
+    full = with_source(docs.select(*rest, place.alias("_at")), source_col)
+    side = common.sized_broadcast(ends)
+    full = full.join(side, full[source_col].eqNullSafe(side["_src"]) & (shard == side["_sh"]), "left")
+    size = F.col("_at.size")
+    part = F.when(F.col("_at") < F.col("_edge._at"), size).when(F.col("_at") == F.col("_edge._at"), F.col("_edge.part")).otherwise(F.lit(0))
+    common.discard(sized, shards)
+    return full.select(*rest, size.alias("size"), F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), (F.coalesce("_whole", F.lit(0)) * size + part).cast("long").alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

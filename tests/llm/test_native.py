@@ -119,6 +119,38 @@ def test_mixture(docs, texts):
         assert abs(taken[s] - t) <= 2 * mixing.BLOCK, (s, taken[s], t)
 
 
+def test_taken_word_by_word(spark, docs, monkeypatch):
+    """Shards small enough that there are several, their streams laid out word by word."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 12)
+    some = docs.where("text is null or length(text) < 200000")
+    got = {r["doc_id"]: r for r in mixing.mixture(some).collect()}
+    lots = dict(rows_of(some.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("lot")), "doc_id", "lot"))
+    sources, total, rows = defaultdict(list), sum(r["size"] for r in got.values()), len(got)
+    for d, r in got.items():
+        sources[r["source"]].append(d)
+    names = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [None] * (None in sources)
+    target = brute.mix_targets({s: sum(got[d]["size"] for d in ds) for s, ds in sources.items()})
+    keyed = {chr(i): s for i, s in enumerate(names)}
+    blocks = apportion({k: target[s] for k, s in keyed.items()}, round(total / mixing.BLOCK))
+    words, count, several = max(20_000, total // mixing.SHARDS), max(12, rows // mixing.SHARDS), 0
+    for k, s in keyed.items():
+        ds = sources[s]
+        size = sum(got[d]["size"] for d in ds)
+        n = max(math.ceil(size / words), math.ceil(len(ds) / count), 1)
+        several += n > 1
+        shards = defaultdict(list)
+        for d in sorted(ds, key=lambda d: lots[d]):
+            shards[chr(lots[d] % n)].append(d)
+        quota = apportion({c: sum(got[d]["size"] for d in x) for c, x in shards.items()}, blocks[k])
+        for c, x in shards.items():
+            stream = [d for d in x for _ in range(got[d]["size"])]
+            take = min(quota[c] * mixing.BLOCK, 3 * len(stream))
+            taken = Counter((stream * 3)[:take])
+            assert {d: got[d]["taken"] for d in x} == {d: taken[d] for d in x}, (s, c)
+    assert several > 1
+
+
 def test_mixture_does_not_hang_on_partitions(docs):
     a, b = ({r["doc_id"]: r["taken"] for r in mixing.mixture(docs.repartition(n)).select("doc_id", "taken").collect()} for n in (1, 9))
     assert a == b
@@ -158,6 +190,8 @@ def test_mixture_at_the_edges(spark):
     assert got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
     assert got.count() == 5
     assert mixing.mixture(df.limit(0)).count() == 0
+    twins = [r["taken"] for r in got.collect() if r["text"] == "x y z"]
+    assert len(twins) == 2 and twins[0] == twins[1]
     assert {r["taken"] for r in mixing.mixture(df.where("text is null")).collect()} == {0}
 
 
