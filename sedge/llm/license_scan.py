@@ -56,6 +56,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "canonical_sha256", "license_id")
 
 
+def license_scan_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over whole licences: as they are, in capitals under a copyright line, and with words added (no licence)."""
+    x = spark.createDataFrame(sorted(TEXTS.items()), "name string, t string")
+    dress = F.array(F.col("t"), F.concat(F.lit("Copyright (c) 2020 Jane Roe\n\n"), F.translate("t", common.UPPER.lower(), common.UPPER)), F.concat(F.col("t"), F.lit(" and more")))
+    return scan(x.select("name", F.posexplode(dress).alias("dress", "text"))).select("name", "dress", "canonical_sha256", "license_id")
+
+
 def canonical_sql(column: str) -> str:
     c = f"regexp_replace({common.lower_sql(column)}, '{COPYRIGHT}', chr(10), 'g')"
     c = f"' ' || regexp_replace({c}, '{NOT_WORD}', ' ', 'g') || ' '"
@@ -64,11 +71,25 @@ def canonical_sql(column: str) -> str:
     return f"trim({c})"
 
 
-def sql() -> str:
+def _known_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEXTS.items()))
+    return f"""known(license_id, license_text) AS (VALUES {rows}),
+k AS (SELECT license_id, sha256({canonical_sql("license_text")}) AS canonical_sha256 FROM known)"""
+
+
+def sql() -> str:
     return f"""
-WITH known(license_id, license_text) AS (VALUES {rows}),
-k AS (SELECT license_id, sha256({canonical_sql("license_text")}) AS canonical_sha256 FROM known),
+WITH {_known_sql()},
 d AS (SELECT doc_id, sha256({canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN k USING (canonical_sha256)
 """
+
+
+def known_sql() -> str:
+    return f"""
+WITH {_known_sql()},
+x AS (SELECT license_id AS name, 0 AS dress, license_text AS text FROM known UNION ALL SELECT license_id, 1, 'Copyright (c) 2020 Jane Roe' || chr(10) || chr(10) || translate(license_text, '{common.UPPER.lower()}', '{common.UPPER}') FROM known
+ UNION ALL SELECT license_id, 2, license_text || ' and more' FROM known),
+d AS (SELECT name, dress, sha256({canonical_sql("text")}) AS canonical_sha256 FROM x)
+SELECT name, dress, canonical_sha256, license_id FROM d LEFT JOIN k USING (canonical_sha256)
+"""

@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": url_filter.op10_url_filter,
+        "license_scan_known": license_scan.license_scan_known,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.SQL,
         "op7_license_scan": license_scan.sql(),
         "op8_decontaminate": decontaminate.sql(),
+        "license_scan_known": license_scan.known_sql(),
     }
