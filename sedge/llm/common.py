@@ -193,6 +193,29 @@ def bloom_has(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs but for the rows whose id is in ids (one column of longs), which is a small part of it.
+
+    Up to BROADCAST_ROWS ids are broadcast; of more, a filter tells the rows that surely stay, and only the others travel.
+    """
+    key = ids.columns[0]
+    n = ids.count()
+    gone = ids.select(F.col(key).alias("_gone"))
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    filled = docs.sparkSession.sparkContext.broadcast(build_bloom(ids, bits_for(n)))
+
+    @F.pandas_udf("boolean")
+    def maybe(x):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(bloom_has(filled.value, x.fillna(0).to_numpy(np.int64)))
+
+    seen = docs.withColumn("_maybe", maybe(F.col(id_col).cast("long")))
+    stay = seen.where(~F.col("_maybe")).drop("_maybe")
+    return stay.unionByName(seen.where("_maybe").drop("_maybe").join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))
+
+
 def spread(df: DataFrame, tasks_per_core: int = 3) -> int:
     """A number of partitions for work that is heavy beside its rows."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks_per_core * df.sparkSession.sparkContext.defaultParallelism)

@@ -197,6 +197,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return docs.select(*rest).join(groups, F.col(id_col).eqNullSafe(F.col("_doc"))).select(*rest, *new)
 
 
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, all columns; texts are not shuffled to find them."""
+    groups = duplicate_groups(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), percent)
+    gone = common.materialize(groups.where("not kept").select("doc").distinct(), "lsh-gone")
+    return common.without(docs, gone, id_col)
+
+
 def duplicate_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc, n_shingles, component_id, kept for docs (doc, text)."""
     sig = common.materialize(docs.mapInArrow(common.frugal(_sketch), "doc long, n long, d1 long, d2 long, regs binary"), "lsh-sketches")

@@ -52,6 +52,17 @@ def test_near_duplicates_keeps_other_columns(spark):
     assert minhash.near_duplicates(df.limit(0), id_col="id", text_col="body").count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_deduplicated_keeps_what_is_kept(spark, docs, monkeypatch, most):
+    """Whether the ids that go are broadcast or told by a filter; null ids stay."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    x = docs.where("doc_id % 3 = 0").unionByName(spark.createDataFrame([(None, "one two three", None, None)] * 2, docs.schema))
+    want = minhash.near_duplicates(x).where("kept").select(*x.columns)
+    got = minhash.deduplicated(x)
+    assert got.columns == x.columns
+    assert sorted(map(str, rows_of(got, "doc_id", "source"))) == sorted(map(str, rows_of(want, "doc_id", "source")))
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
