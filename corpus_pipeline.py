@@ -33,7 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five words, 0.8 or more) the one with the least id."""
-    return minhash.near_duplicates(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return minhash.deduplicated(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
