@@ -43,7 +43,8 @@ def known(spark: SparkSession, licences: DataFrame | None = None) -> DataFrame:
 def scan(docs: DataFrame, text_col: str = "text", licences: DataFrame | None = None) -> DataFrame:
     """All columns of docs and canonical_sha256, license_id (null: no known licence; columns of these names are replaced).
 
-    Null and empty texts have the digest of the empty form and never match. Each of repeated rows gets its own answer.
+    Null and empty texts have the digest of the empty form and never match. Each of repeated rows gets its own answer. Texts of
+    any length are brought to canonical form whole, in some copies of the text at a time.
     """
     rest = [c for c in docs.columns if c not in ("canonical_sha256", "license_id")]
     digest = docs.select(*rest, F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))

@@ -49,20 +49,26 @@ def _segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, levels: int | None = None, reject: float = REJECT, url_col: str = "url") -> DataFrame:
-    """All columns of pages and host, path, rule, verdict, template, purity (columns of these names are replaced).
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, levels: int | None = None, reject: float = REJECT, url_col: str = "url", labelled: Column | None = None) -> DataFrame:
+    """All columns of pages and host, path, rule, verdict, template, purity, told (columns of these names are replaced).
+
+    told is what the tree alone says, of pages that a rule fits too. labelled: of which pages the rules' verdicts may be learned
+    from (of all, if not given); the others are judged as if no rule fitted them, which tells how good the tree is.
 
     A null url or one without `://` has empty host and path; no rule fits it, and it is judged with all others like it.
     If no page is labelled, the share overall is 0 and what no rule fits is allowed. Repeated rows are each judged. Purity
     is the smoothed share of blocked pages, which may reach `reject` for an allowed page, if few labelled pages bear it out.
+    Urls of any length are read whole; a very deep one costs a level of the tree (a few jobs) for each segment. Equal counts of
+    evidence at a bound block. Null page ids and other nulls are carried along.
     """
-    new = ["host", "path", "rule", "verdict", "template", "purity"]
+    new = ["host", "path", "rule", "verdict", "template", "purity", "told"]
     rest = [c for c in pages.columns if c not in new]
-    x = pages.select(*rest, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    x = pages.select(*rest, F.col(url_col).alias("_url"), (F.lit(True) if labelled is None else F.coalesce(labelled, F.lit(False))).alias("_known"))
+    x = x.select(*rest, "_known", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     x = x.withColumns({"_r": rule_of(F.col("host"), F.col("path"), rules), "_seg": _segments(F.col("path"))})
     x = x.withColumn("_shape", F.concat_ws("/", "_seg"))
-    blocked, labelled = (F.col("_r.verdict") == "block").cast("long"), F.col("_r.verdict").isNotNull().cast("long")
-    counts = x.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(blocked, F.lit(0))).alias("b"), F.sum(labelled).alias("l"))
+    blocked, known = (F.col("_known") & (F.col("_r.verdict") == "block")).cast("long"), (F.col("_known") & F.col("_r.verdict").isNotNull()).cast("long")
+    counts = x.groupBy("host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(blocked, F.lit(0))).alias("b"), F.sum(known).alias("l"))
     tree = common.materialize(counts, "url-shapes").withColumns({"_parts": F.split("_shape", "/"), "template": F.lit(""), "_same": F.lit("")})
     depth = tree.agg(F.max(F.size("_parts"))).first()[0] or 0
     for d in range(1, min(depth, depth if levels is None else levels) + 1):
@@ -101,7 +107,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lev
     shapes = common.materialize(tree.select("host", "_shape", "template").join(p, ["host", "template"]), "url-judged")
     out = x.join(common.sized_broadcast(shapes), ["host", "_shape"])
     own = F.when(F.col("_sure") & (F.col("purity") >= reject), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(*rest, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", own).alias("verdict"), "template", "purity")
+    return out.select(*rest, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", own).alias("verdict"), "template", "purity", own.alias("told"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,56 @@ def url_rule(host, path):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
     fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, None)
+
+
+def url_tree(pages, rules, u):
+    """[(host, path, label or None)] -> [(template, purity, told)]; u: the url filter's module, for its constants."""
+    def shape(path):
+        return tuple("*" + (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0] if re.search("[0-9]", s) else s for s in path.removeprefix("/").split("/"))
+
+    shapes = [shape(p) for _, p, _ in pages]
+    name, same = [""] * len(pages), [""] * len(pages)
+    for d in range(max(map(len, shapes), default=0)):
+        kids, nodes = defaultdict(lambda: [0, 0, 0]), defaultdict(list)
+        for i, (host, _, label) in enumerate(pages):
+            if d < len(shapes[i]):
+                k = kids[host, name[i], shapes[i][d]]
+                for j, v in enumerate((1, label == "block", label is not None)):
+                    k[j] += v
+        for (host, t, part), k in kids.items():
+            nodes[host, t].append(k)
+        before, plain_before = list(name), list(same)
+        for i, (host, _, _) in enumerate(pages):
+            if d >= len(shapes[i]):
+                continue
+            part, all_kids = shapes[i][d], nodes[host, before[i]]
+            cn, cb, cl = kids[host, before[i], part]
+            pn, pb, pl = (sum(k[j] for k in all_kids) for j in range(3))
+            share = (pb + 0.5) / (pl + 1)
+            z = abs(cb / max(cl, 1) - share) * (cl / (share * (1 - share))) ** 0.5
+            plain = "*" if pn >= u.LEAST and len(all_kids) > u.VARIED * pn and cn < u.LEAST and cl < u.SURE else part
+            alike = cl >= u.SURE and sum(k[2] >= u.SURE for k in all_kids) > 1 and z < u.Z
+            name[i], same[i] = f"{before[i]}/{u.SIMILAR if alike else plain}", f"{plain_before[i]}/{plain}"
+
+    def tally(keys):
+        out = defaultdict(lambda: [0, 0])
+        for k, (_, _, label) in zip(keys, pages, strict=True):
+            if k is not None:
+                out[k][0] += label == "block"
+                out[k][1] += label is not None
+        return out
+
+    hosts = [h for h, _, _ in pages]
+    own, by_host, by_same = tally(list(zip(hosts, name, strict=True))), tally(hosts), tally(same)
+    of = defaultdict(set)
+    for h, t, s in zip(hosts, name, same, strict=True):
+        if re.search("/[^*/]", s):
+            of[h, t].add(s)
+    b, n = (sum(v[j] for v in by_host.values()) for j in (0, 1))
+    smooth = lambda x, prior: (x[0] + u.STRENGTH * prior) / (x[1] + u.STRENGTH)
+    out = []
+    for h, t in zip(hosts, name, strict=True):
+        others = [sum(by_same[s][j] for s in of[h, t]) for j in (0, 1)]
+        purity = smooth(own[h, t], smooth(others, smooth(by_host[h], b / n if n else 0.0)))
+        out.append((t, purity, "block" if max(own[h, t][1], others[1]) >= u.SURE and purity >= u.REJECT else "allow"))
+    return out
