@@ -9,6 +9,7 @@ store by all queries of an application. The folders go when Python ends.
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import shutil
 import tempfile
@@ -18,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import paths
 from ..operators import chunking, generators, graph, metadata
 from ..session import register
 from . import fixtures as fx
-from . import service
+from . import http, service
 from .store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +223,13 @@ def store_delete(spark: SparkSession, d: str) -> DataFrame:
     return _versions(store)
 
 
+def store_vacuum(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that go, what can be read before and after."""
+    store = _store_steps(spark, d)
+    before, gone, again = _versions(store).collect(), store.vacuum(), store.vacuum()
+    return spark.createDataFrame(before, _versions(store).schema).exceptAll(_versions(store)).agg(F.count(F.lit(1)).alias("lost")).select(F.lit(gone).alias("gone"), F.lit(again).alias("again"), "lost")
+
+
 def store_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports are appended; the latest of each repository counts."""
     store = Store(spark, f"file://{_folder(spark)}/store")
@@ -257,11 +266,28 @@ def ask_prompt(spark: SparkSession, d: str) -> DataFrame:
     return x.select("system", F.get_json_object("user", "$.question").alias("question"), F.get_json_object("user", "$.retrieved_code").alias("retrieved"))
 
 
+def api_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to the routes, as a client sees them: status, and what is told."""
+    store = _store(spark, d)
+    own = store.repository_by_url(_URL.format("a"))["id"]
+    api, rows = http.Api(spark, store, Settings(app_name="x"), generators.Scripted([REPLY])), []
+    ask = lambda **body: ("POST", "/api/v1/ask", json.dumps(body).encode())
+    asked = {
+        "health": ("GET", "/api/v1/health", b""), "count": ask(repository_id=own, question=ASKED[0]), "generated": ask(repository_id=own, question=ASKED[6]), "short": ask(repository_id=own, question="?"), "unknown": ask(repository_id="none", question=ASKED[0]),
+        "no_json": ("POST", "/api/v1/ask", b"{"), "no_url": ("POST", "/api/v1/repository", b'{"repo_url": "ftp://x"}'), "no_route": ("GET", "/api/v2/health", b""), "no_method": ("GET", "/api/v1/ask", b""),
+    }
+    for name, request in asked.items():
+        status, body = api.dispatch(*request)
+        told = json.loads(body)
+        rows.append((name, status, told.get("app_name") or told.get("answer", {}).get("answer")))
+    return spark.createDataFrame(rows, "request string, status int, told string")
+
+
 QUERIES: dict[str, Query] = {
-    "tree_scan": tree_scan, "tree_counts": tree_counts, "tree_decode": tree_decode,
+    "api_answers": api_answers, "tree_scan": tree_scan, "tree_counts": tree_counts, "tree_decode": tree_decode,
     "index_chunks": _of(index_chunks), "index_chunk_counts": _of(lambda s: s.counts()), "index_chunk_order": index_chunk_order, "index_reports": _of(index_reports), "index_technologies": _of(index_technologies), "index_directory_json": _of(index_directory_json),
     "index_graph_files": _graph(lambda g: g.files), "index_graph_imports": _graph(lambda g: g.imports), "index_graph_uses": _graph(lambda g: g.uses), "index_graph_stats": _graph(graph.stats),
-    "store_ids": _of(_is_new), "store_lookup": store_lookup, "store_replace": store_replace, "store_delete": store_delete, "store_reports": store_reports, "ask_answers": ask_answers, "ask_prompt": ask_prompt,
+    "store_ids": _of(_is_new), "store_lookup": store_lookup, "store_replace": store_replace, "store_delete": store_delete, "store_vacuum": store_vacuum, "store_reports": store_reports, "ask_answers": ask_answers, "ask_prompt": ask_prompt,
 }
 
 
@@ -315,10 +341,13 @@ SQL: dict[str, str] = {
     "index_graph_imports": f"WITH {_FILES}, {_GRAPH} SELECT repo, source, target FROM ge",
     "index_graph_uses": f"WITH {_FILES}, {_GRAPH} SELECT repo, source, target FROM gu",
     "index_graph_stats": f"WITH {_FILES}, {_GRAPH} SELECT repo, count(*) AS file_nodes, count(DISTINCT module) AS module_nodes, count(*) FILTER (is_service) AS service_nodes, (SELECT count(*) FROM ge WHERE ge.repo = gf.repo) AS file_import_relationships, (SELECT count(*) FROM gu WHERE gu.repo = gf.repo) AS module_use_relationships FROM gf GROUP BY repo",
+    "api_answers": f"""WITH {_FILES}, {_GRAPH} SELECT request, status, told FROM (VALUES ('health', 200, 'x'), ('generated', 200, 'nobody'), ('short', 422, NULL), ('unknown', 400, NULL), ('no_json', 422, NULL), ('no_url', 422, NULL), ('no_route', 404, NULL), ('no_method', 405, NULL)) t(request, status, told)
+UNION ALL SELECT 'count', 200, 'The repository contains ' || count(*) || ' files.' FROM gf WHERE repo = 'a'""",
     "store_ids": "SELECT repo, true AS uuid4, true AS fresh, true AS ordered FROM (VALUES ('a'), ('b')) t(repo)",
     "store_lookup": f"WITH {_FILES}, n AS ({_COUNTS}) SELECT 'https://example.org/' || repo || '.git' AS repo_url, 'analyzed' AS status, file_count, true AS same, true AS unknown FROM n",
     "store_replace": f"WITH {_VERSION('a', 1)}, {_VERSION('b', 2)} {_VERSIONS('a', 1)} UNION ALL {_VERSIONS('b', 2)}",
     "store_delete": f"WITH {_VERSION('a', 1)} {_VERSIONS('a', 1)}",
+    "store_vacuum": "SELECT 2 AS gone, 0 AS again, 0 AS lost",
     "store_reports": "SELECT CAST(c_custkey AS VARCHAR) AS repository_id, 'analyzed' AS status, CAST(c_nationkey + 100 AS INTEGER) AS file_count, 2 AS reports, 2 AS ids FROM customer",
     "ask_answers": f"""WITH {_FILES}, {_GRAPH}, g AS (SELECT * FROM gf WHERE repo = 'a')
 SELECT {_lit(ASKED[0])} AS question, 'The repository contains ' || count(*) || ' files.' AS answer, 'high' AS confidence, 'File nodes' AS sources, true AS graph_context_used, 0 AS tokens FROM g

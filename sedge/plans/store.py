@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,10 @@ class Store:
         return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     def repositories(self) -> DataFrame:
-        return self.read("repositories", schemas.REPOSITORIES)
+        """One row for each url: should two jobs have added it at once, the first by time and id counts for all readers."""
+        names = schemas.REPOSITORIES.names
+        first = F.min_by(F.struct(*names), F.struct("created_at", "id")).alias("r")
+        return self.read("repositories", schemas.REPOSITORIES).groupBy("repo_url").agg(first).select(*(F.col(f"r.{n}").alias(n) for n in names))
 
     def reports(self) -> DataFrame:
         return self.read("reports", schemas.REPORTS)
@@ -92,14 +96,20 @@ class Store:
 
     # ------------------------------------------------------------ writing
 
+    def _ids(self, urls: list[str]) -> dict[str, str]:
+        asked = self.spark.createDataFrame([(u,) for u in urls], "repo_url string")
+        side = F.broadcast(asked) if len(urls) <= 100_000 else asked
+        return {r["repo_url"]: r["id"] for r in self.repositories().join(side, "repo_url", "left_semi").select("repo_url", "id").collect()}
+
     def get_or_create(self, urls: list[str]) -> dict[str, str]:
-        """Ids by url; urls that aren't known yet are appended with fresh ids (SNK-1)."""
-        asked = self.spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "repo_url string")
-        known = {r["repo_url"]: r["id"] for r in self.repositories().join(F.broadcast(asked), "repo_url", "left_semi").collect()}
-        fresh = [(str(uuid.uuid4()), u, now(), now()) for u in dict.fromkeys(urls) if u not in known]
+        """Ids by url; urls that aren't known yet are appended with fresh ids, and read again, so that all jobs agree (SNK-1)."""
+        urls = list(dict.fromkeys(urls))
+        known = self._ids(urls)
+        fresh = [(str(uuid.uuid4()), u, now(), now()) for u in urls if u not in known]
         if fresh:
             self.spark.createDataFrame(fresh, schemas.REPOSITORIES).coalesce(1).write.mode("append").parquet(f"{self.root}/repositories")
-        return known | {u: i for i, u, _, _ in fresh}
+            known = self._ids(urls)
+        return known
 
     def append_reports(self, reports: DataFrame) -> None:
         """Rows of metadata.reports get an id and a time (SNK-2)."""
@@ -120,6 +130,22 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/repository_id={repository_id}")
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def vacuum(self) -> int:
+        """Drop all runs' rows but those of each repository's last committed run; how many folders went. Not to be called while
+        a run is being written: its rows are not committed yet."""
+        live = {(r["repository_id"], r["run"]) for r in self.latest_run().toLocalIterator()}
+        gone = 0
+        for name in schemas.TABLES:
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(top, "repository_id=*/run=*")) or ():
+                path = found.getPath()
+                key = tuple(unquote(p.getName().partition("=")[2]) for p in (path.getParent(), path))
+                if key not in live:
+                    fs.delete(path, True)
+                    gone += 1
+        return gone
+
     def counts(self) -> DataFrame:
         """repository_id, chunks (AGG-9)."""
         return self.table("chunks").groupBy("repository_id").agg(F.count(F.lit(1)).alias("chunks"))

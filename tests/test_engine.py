@@ -159,7 +159,7 @@ def test_top_k_plan_and_ties(spark):
 def test_embedder_is_stable():
     e = embedding.HashingEmbedder(32)
     a, b = e.encode(["some Words here", ""])
-    assert a == e.encode(["some words here"])[0] and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b)
+    assert a.tolist() == e.encode(["some words here"])[0].tolist() and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b)
 
 
 def test_context_is_cut(spark):
@@ -307,6 +307,44 @@ def test_latest_and_upsert(spark):
     assert {(r["k"], r["id"]) for r in graph.upsert(df.where("k = 2"), new, ["k"]).collect()} == {(2, "d"), (3, "e")}
 
 
+def test_http(spark, store):
+    """The routes over a socket."""
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from sedge.plans import http
+
+    server = http.serve(http.Api(spark, store), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}{http.PREFIX}"
+    try:
+        with urllib.request.urlopen(f"{base}/health", timeout=30) as r:
+            assert r.status == 200 and json.loads(r.read())["status"] == "ok"
+        body = json.dumps({"repository_id": store.told["repository_id"], "question": "how many files"}).encode()
+        with urllib.request.urlopen(urllib.request.Request(f"{base}/ask", body, method="POST"), timeout=120) as r:
+            assert "files" in json.loads(r.read())["answer"]["answer"]
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(f"{base}/none", timeout=30)
+        assert e.value.code == 404
+    finally:
+        server.shutdown()
+    assert json.loads(http.to_json(store.told))["technologies"] is not None
+
+
+def test_two_jobs_add_a_url_at_once(spark, tmp_path):
+    """Both rows are there, all readers take the same one."""
+    from sedge import schemas
+    from sedge.plans.store import Store, now
+
+    s = Store(spark, str(tmp_path / "s"))
+    at = now()
+    for i in ("b", "a"):
+        spark.createDataFrame([(i, "https://x/y", at, at)], schemas.REPOSITORIES).write.mode("append").parquet(f"{s.root}/repositories")
+    assert s.get_or_create(["https://x/y", "https://x/z"])["https://x/y"] == "a"
+    assert s.repository_by_url("https://x/y")["id"] == "a" and s.repositories().count() == 2
+
+
 def test_stream_of_requests(spark, store, tmp_path):
     from sedge.streaming import requests
 

@@ -40,16 +40,16 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_every_fiftieth_vector_is_a_query(spark):
     """Two answers for each id that 50 divides, of which there are more the more rows there are."""
     ids = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()]
-    got = core.QUERIES["vector_topk_every_fiftieth"](spark, "/root/testdata/sf0.1").collect()
+    got = core.QUERIES["vector_topk_per_query"](spark, "/root/testdata/sf0.1").collect()
     assert len(ids) == 40 and sorted(r["query_id"] for r in got) == sorted(ids * 2)
 
 
 def test_own_operators_take_whole_tables(spark, duck):
     """What the query over whole tables answers for: each row of its tables."""
     n = {t: duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("embeddings", "customer", "supplier")}
-    got = {name: core.QUERIES[name](spark, DATA) for name in ("zero_norm_all", "context_all", "graph_upsert_all", "repo_upsert_all")}
-    assert got["zero_norm_all"].count() == n["embeddings"] + 1 and got["graph_upsert_all"].count() == n["customer"] + 50 and got["repo_upsert_all"].count() == n["supplier"]
-    assert got["context_all"].count() == duck.execute(f"SELECT count(DISTINCT doc_id) FROM ({core.SQL['chunk_lines_100_20']})").fetchone()[0]
+    got = {name: core.QUERIES[name](spark, DATA) for name in ("zero_norm_guard", "context_concat", "graph_upsert", "repo_upsert")}
+    assert got["zero_norm_guard"].count() == n["embeddings"] + 1 and got["graph_upsert"].count() == n["customer"] + 50 and got["repo_upsert"].count() == n["supplier"]
+    assert got["context_concat"].count() == duck.execute(f"SELECT count(DISTINCT doc_id) FROM ({core.SQL['chunk_lines_100_20']})").fetchone()[0]
 
 
 def test_entry(spark):
@@ -86,3 +86,20 @@ def test_top_k_per_query_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, core.QUERIES["vector_topk_per_query"](spark, DATA).collect()))
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
     assert sorted(map(tuple, core.QUERIES["vector_topk_per_query"](spark, DATA).collect())) == want
+
+
+def test_top_k_per_query_at_the_edges(spark):
+    """Ties by key, zero and null vectors, fewer items than k, another size."""
+    items = spark.createDataFrame([(4, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (1, None), (0, None), (5, [0.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([("x", [1.0, 0.0]), ("zero", [0.0, 0.0]), ("null", None)], "query_id string, embedding array<float>")
+
+    def found(i, k):
+        return sorted(((r["query_id"], r["rank"], r["vec_id"], r["similarity"]) for r in retrieval.top_k_per_query(i, queries, k, digits=6).collect()), key=str)
+
+    want = [("x", 1, 2, 1.0), ("x", 2, 4, 1.0), ("x", 3, 3, 0.0), ("zero", 1, 2, 0.0), ("zero", 2, 3, 0.0), ("zero", 3, 4, 0.0), ("null", 1, 0, None), ("null", 2, 1, None), ("null", 3, 2, None)]
+    assert found(items, 3) == sorted(want, key=str)
+    few = items.where("vec_id in (0, 1, 4)")
+    assert found(few, 2) == sorted([("x", 1, 4, 1.0), ("x", 2, 0, None), ("zero", 1, 4, 0.0), ("zero", 2, 0, None), ("null", 1, 0, None), ("null", 2, 1, None)], key=str)
+    assert retrieval.top_k_per_query(items.limit(0), queries).count() == 0 and retrieval.top_k_per_query(items, queries.limit(0)).count() == 0
+    with pytest.raises(Exception, match="differ in size"):
+        retrieval.top_k_per_query(items, spark.createDataFrame([("x", [1.0])], queries.schema)).collect()
