@@ -3,7 +3,8 @@
 Sketch: a shingle's hash picks a register; a register keeps of its least second hash the number of leading zeros and
 MANTISSA bits after them, 16 bits in all. Empty registers of short texts borrow from filled ones in an order that is the
 same for all texts. BANDS bands of ROWS compressed registers give candidates. A candidate's Jaccard estimate, corrected
-for chance collisions of registers, must come within six standard deviations of the threshold; then full sets decide.
+for the chance collisions of registers of sets of such sizes, must come within six standard deviations of the threshold; then
+full sets decide.
 
 Texts with equal shingle sets are one class with one representative, so copies never meet in a band. Where more than
 CROWD classes share a bucket, its members meet in their rarest shingles instead (_company), which tells apart copies that
@@ -101,11 +102,22 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return common.mix64(packed + common.mix64(np.arange(1, BANDS + 1, dtype=np.uint64))[None])
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimate of register rows: two unequal minima have the same leading zeros about one time in three, and
-    then the same mantissa one time in 2**MANTISSA."""
-    chance = 1 / 3 / (1 << MANTISSA)
-    return np.maximum(0, ((a == b).mean(1) - chance) / (1 - chance))
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How likely unequal minima of sets of n and m shingles look alike in a register.
+
+    A register's share of a set has about n / REGISTERS hashes, whose minimum has the density n e**(-n x). Minima look alike if they
+    fall into one cell: of the range of p leading zeros, which has 2**MANTISSA cells of 2**-(p + 1 + MANTISSA) each.
+    """
+    n, m = (np.maximum(1.0, np.asarray(x, np.float64) / REGISTERS)[..., None] for x in (n, m))
+    low = 0.5 ** np.arange(1, 53)
+    both = n * m / (n + m) * (np.exp(-(n + m) * low) - np.exp(-(n + m) * 2 * low))
+    return (both * low).sum(-1) / (1 << MANTISSA)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimate of register rows of sets of n and m shingles, less what chance makes look alike."""
+    by_chance = chance(n, m)
+    return np.maximum(0, ((a == b).mean(1) - by_chance) / (1 - by_chance))
 
 
 # ---------------------------------------------------------------- over tables
@@ -167,14 +179,14 @@ def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
     @F.pandas_udf("double")
-    def similar(a, b):  # noqa: ANN001, ANN202
+    def similar(a, b, n, m):  # noqa: ANN001, ANN202
         import pandas as pd
 
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, REGISTERS) for s in (a, b))
-        return pd.Series(estimate(x, y))
+        return pd.Series(estimate(x, y, n.to_numpy(), m.to_numpy()))
 
-    regs = reps.select("rep", "regs")
-    near = pairs.join(regs.toDF("b", "rb"), "b").join(regs.toDF("a", "ra"), "a").where(similar("ra", "rb") >= least).select("a", "b")
+    regs = reps.select("rep", "regs", "n")
+    near = pairs.join(regs.toDF("b", "rb", "nb"), "b").join(regs.toDF("a", "ra", "na"), "a").where(similar("ra", "rb", "na", "nb") >= least).select("a", "b")
     near = common.materialize(near, "lsh-near")
     # The second side's set travels to the first, which may be a centre of very many pairs.
     full = near.join(sets.toDF("b", "ib"), "b").join(sets.toDF("a", "ia"), "a")

@@ -70,7 +70,20 @@ def test_registers_estimate():
         k = int(n * share)
         x = rng.integers(0, 1 << 63, 2 * n - k, dtype=np.uint64) * np.uint64(2)
         a, b = minhash.registers(1, np.zeros(n, np.int64), np.sort(x[:n])), minhash.registers(1, np.zeros(n, np.int64), np.sort(x[n - k :]))
-        assert abs(minhash.estimate(a, b)[0] - k / (2 * n - k)) < 0.2
+        assert abs(minhash.estimate(a, b, np.array([n]), np.array([n]))[0] - k / (2 * n - k)) < 0.2
+
+
+def test_chance_collisions_of_registers():
+    """Of disjoint sets, of equal and of very unequal sizes, as often as reckoned (with few mantissa bits)."""
+    rng = np.random.default_rng(5)
+    for n, m in ((2000, 2000), (2000, 60_000)):
+        seen = 0
+        for _ in range(60):
+            x, y = (np.sort(rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)) for k in (n, m))
+            a, b = minhash.registers(1, np.zeros(n, np.int64), x)[0], minhash.registers(1, np.zeros(m, np.int64), y)[0]
+            seen += ((a >> 8) == (b >> 8)).sum()  # the leading zeros and two bits
+        want = minhash.chance(np.array([n]), np.array([m]))[0] * (1 << (minhash.MANTISSA - 2)) * 60 * minhash.REGISTERS
+        assert abs(seen - want) < 6 * want**0.5 + 0.05 * want
 
 
 def test_components_of_a_long_chain(spark):
