@@ -1,10 +1,11 @@
 """PII: skip-chain conditional random field over the tokens of a document that could be personal data.
 
 Nodes are the blank-delimited tokens with a digit or `@`; any other token is clamped to "none", which cuts the chain, so
-inference over the nodes alone is inference over the whole document. Nodes that are next to each other share a chain
-potential; a node and the next one like it anywhere in the document (same folded text, or same seven or more digits)
-share a skip potential, so that the labels of repeated mentions agree. Linking each to the next keeps the number of
-factors linear in the tokens. Marginals come from damped loopy belief propagation.
+inference over the nodes alone is inference over the whole document. A node is known by its signs and by the word before it.
+Nodes that are next to each other share a chain potential; a node and the next one like it anywhere in the document (same
+address, whatever stands around it; same last seven digits; else same folded text) share a skip potential, so that the labels
+of repeated mentions agree. Linking each to the next keeps the number of factors linear in the tokens. Marginals come from
+damped loopy belief propagation.
 
 Weights are fitted by pseudo-likelihood on about SAMPLE_TOKENS tokens at most, of documents picked by a hash of the id;
 labels are the base patterns' matches. In training the tell-tale signs of a token are left out at times, so that context
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +85,11 @@ def base_spans(text: str) -> list[Span]:
 
 #: Features of a token alone (the first _SIGNS are tell-tale), then of its neighbours.
 _SIGNS = 8
-_ALONE = 22
+_SHAPE = 22
+#: Cells that the word before a token is hashed to, and one for a colon at its end.
+_WORDS = 32
+_ALONE = _SHAPE + _WORDS + 1
+_ADDRESS = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*")
 
 
 def nodes(text: str) -> list[tuple[int, int]]:
@@ -106,12 +112,17 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         dots = t.count(".")
         core = t.replace("-", "")
         n = len(t) or 1
-        x[i] = (
+        x[i, :_SHAPE] = (
             "@" in t, t[:1] == "+", dots == 3 and digits + dots == len(t), core.isdigit() and 12 <= len(core) <= 19 and core.isascii() and luhn(core),
             "@" in t and "." in t.rpartition("@")[2], "(" in t and ")" in t, core.isdigit() and 12 <= len(core) <= 19, digits == 7 and "-" in t,
             1, letters == 0, letters > 0 and digits > 0, digits == len(t), dots == 1, dots >= 2, "-" in t, digits <= 3,
             4 <= digits <= 7, 8 <= digits <= 11, digits >= 12, letters / n > 0.5, n > 24, "=" in t or "/" in t or "_" in t,
         )
+        before = text[max(0, a - 32) : a].split()  # words are short; a longer one counts by its end
+        if before:
+            word = before[-1].strip(_EDGE).lower()
+            x[i, _SHAPE + zlib.crc32(word.encode("utf-8", "replace")) % _WORDS] = 1
+            x[i, -1] = before[-1].endswith(":")
     return x
 
 
@@ -131,7 +142,8 @@ def skip_links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     for i, (a, b) in enumerate(spans):
         t = text[a:b].strip(_EDGE).lower()
         digits = "".join(c for c in t if "0" <= c <= "9")
-        key = digits if len(digits) >= 7 and "@" not in t else t
+        address = _ADDRESS.search(t) if "@" in t else None
+        key = address[0] if address else digits[-7:] if len(digits) >= 7 and "@" not in t else t
         if len(key) < 4:
             continue
         if key in last and not (last[key] == i - 1 and _beside(text, spans, i - 1)):
@@ -287,7 +299,7 @@ def find(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """All columns of docs and n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (replaced if there).
 
     Positions are code points, ends exclusive. Null counts as empty: no matches, the digest of the empty string.
-    Repeated rows are each searched.
+    Repeated rows are each searched. Texts of any length are searched whole; inference grows with their nodes.
     """
     new = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     rest = [c for c in docs.columns if c not in new]

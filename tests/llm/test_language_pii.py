@@ -223,3 +223,21 @@ def test_pii_at_the_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in got.collect()) == [(0, 1, "email:0:6"), (0, 1, "email:0:6"), (1, 0, ""), (2, 0, "")]
     empty = df.limit(0)
     assert pii.find(empty, pii.train(empty)).count() == 0
+
+
+def test_similar_mentions_are_linked():
+    t = "see mailto:X@y.zz, or <x@y.zz>; +49 30 1234567 is 0301234567 as well, not 7654321"
+    spans = pii.nodes(t)
+    words = [t[a:b] for a, b in spans]
+    links = {(words[i], words[j]) for i, j in pii.skip_links(t, spans)}
+    assert ("mailto:X@y.zz,", "<x@y.zz>;") in links and ("1234567", "0301234567") in links
+    assert not any("7654321" in pair for pair in links)
+
+
+def test_the_word_before_tells(spark):
+    """Numbers of one shape, which stand after `phone:` if they are personal and after `order` if they are not."""
+    rows = [(i, f"a text, phone: +{10_000_000_000 + i} and order {20_000_000_000 + i} here") for i in range(400)]
+    field = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    t = "my phone: 30000000001 and order 30000000002"
+    p = field.marginals(pii.features(t, pii.nodes(t)).astype(float), [], [])
+    assert p[0][4] > 0.7 and p[1][4] < 0.1
