@@ -49,7 +49,8 @@ BATCH_BYTES, _BATCH = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches of the session have some 4 MB, as texts may be long; a smaller setting stays."""
-    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 

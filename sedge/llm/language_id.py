@@ -131,6 +131,7 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     Of languages of equal count the first by name are kept. Rows that repeat an id are picked or left together; which rows
     are picked, and in which order they are clustered, hangs on ids and texts only. Null ids share one hash.
     """
+    common.bound_batches(rows.sparkSession)
     good = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     most = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     count = {r["lang"]: r["n"] for r in most.collect()}
@@ -185,6 +186,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     cosines go to the first centroid by language. Repeated rows are each predicted. Texts of any length are counted whole.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    common.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -42,3 +42,16 @@ def test_tables_can_be_discarded(spark):
     assert os.path.exists(path)
     common.discard(t, spark.range(1))
     assert not os.path.exists(path)
+
+
+def test_batches_are_bounded(spark):
+    """Larger and unlimited settings are lowered, smaller ones stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for given, want in (("64m", common.BATCH_BYTES), ("1g", common.BATCH_BYTES), ("1m", 1 << 20), ("5000b", 5000)):
+            spark.conf.set(key, given)
+            common.bound_batches(spark)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, was)
