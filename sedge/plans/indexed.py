@@ -9,20 +9,25 @@ store by all queries of an application. The folders go when Python ends.
 from __future__ import annotations
 
 import atexit
+import io
 import json
 import os
 import shutil
+import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..errors import SedgeError, SummaryError
 from ..functions import paths
 from ..operators import chunking, generators, graph, metadata
 from ..session import register
+from ..sources import git
 from . import fixtures as fx
 from . import http, service
 from .store import Store
@@ -223,6 +228,12 @@ def store_delete(spark: SparkSession, d: str) -> DataFrame:
     return _versions(store)
 
 
+def store_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that writing a graph gives, of the graph of the parts."""
+    store = Store(spark, f"file://{_folder(spark)}/store")
+    return store.store_graph("r", fx.part_graph(spark, d)).drop("repository_id")
+
+
 def store_vacuum(spark: SparkSession, d: str) -> DataFrame:
     """Folders that go, what can be read before and after."""
     store = _store_steps(spark, d)
@@ -283,11 +294,77 @@ def api_answers(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "request string, status int, told string")
 
 
+def summary_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary is asked from, and what comes of the reply; a reply without its shape is an error."""
+    store = _store(spark, d)
+    own = store.repository_by_url(_URL.format("a"))["id"]
+    generator = generators.Scripted([json.dumps({"executive_summary": "s", "main_technologies": ["t"], "architecture_observations": [], "notable_directories": [], "next_steps": ["n", "m"]}), "{}"])
+    told = service.summarize(store, own, generator)
+    try:
+        wrong = service.summarize(store, own, generator)
+    except SummaryError:
+        wrong = None
+    asked = json.loads(generator.prompts[0].split("\n\nUSER PROMPT:\n", 1)[1])
+    top = asked["top_level_structure"]
+    github = next(e for e in top if e["name"] == ".github")
+    row = (asked["repo_url"], asked["file_count"], asked["directory_count"], len(asked["technologies"]), ",".join(e["name"] for e in top), ",".join(e["name"] for e in github["children"]), told["executive_summary"], len(told["next_steps"]), wrong is None)
+    return spark.createDataFrame([row], "repo_url string, file_count int, directory_count int, technologies int, top string, children string, summary string, steps int, shapeless boolean")
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """What the generators say when servers answer, don't, or answer wrongly."""
+    s = Settings(ollama_url="http://one", ollama_others=("http://two",), openai_key="k")
+
+    def server(reply: bytes, down: tuple[str, ...] = ()) -> Callable:
+        def opener(request: object, timeout: float) -> io.BytesIO:
+            if any(request.full_url.startswith(u) for u in down):
+                raise OSError("down")
+            return io.BytesIO(reply)
+
+        return opener
+
+    def completion(text: str | None) -> SimpleNamespace:
+        done = SimpleNamespace(choices=[SimpleNamespace(message=SimpleNamespace(content=text))])
+        return SimpleNamespace(chat=SimpleNamespace(completions=SimpleNamespace(create=lambda **_: done)))
+
+    fine = b'{"response": "fine"}'
+    cases: dict[str, Callable[[], str]] = {
+        "ollama": lambda: generators.Ollama(s, server(fine)).generate("p"), "ollama_other": lambda: generators.Ollama(s, server(fine, ("http://one",))).generate("p"), "ollama_none": lambda: generators.Ollama(s, server(fine, ("http://",))).generate("p"),
+        "ollama_no_json": lambda: generators.Ollama(s, server(b"<")).generate("p"), "ollama_blank": lambda: generators.Ollama(s, server(b'{"response": " "}')).generate("p"), "blank_prompt": lambda: generators.Ollama(s, server(fine)).generate(" \n"),
+        "openai": lambda: generators.OpenAI(s, completion("well")).generate("p"), "openai_none": lambda: generators.OpenAI(s, completion(None)).generate("p"), "openai_no_key": lambda: generators.OpenAI(Settings(), completion("well")).generate("p"),
+        "made_ollama": lambda: type(generators.create(Settings.from_env({"LLM_PROVIDER": "ollama"}))).__name__, "made_openai": lambda: type(generators.create(Settings.from_env({"LLM_PROVIDER": " OpenAI "}))).__name__, "made_other": lambda: str(generators.create(Settings.from_env({"LLM_PROVIDER": "x"}))),
+    }
+    rows = []
+    for name, run in cases.items():
+        try:
+            rows.append((name, run(), None))
+        except (SedgeError, ValueError) as e:
+            rows.append((name, None, type(e).__name__))
+    return spark.createDataFrame(rows, "request string, reply string, error string")
+
+
+def clone_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A repository of two commits, cloned without its history, and scanned."""
+    folder = _folder(spark)
+    origin = f"{folder}/origin"
+    for n, text in enumerate(("one\n", "one\ntwo\n")):
+        os.makedirs(f"{origin}/src", exist_ok=True)
+        with open(f"{origin}/src/a.py", "w") as f:
+            f.write(text)
+        for words in ([["init", "-q"]] if n == 0 else []) + [["add", "-A"], ["-c", "user.name=x", "-c", "user.email=x@localhost", "commit", "-q", "-m", str(n)]]:
+            subprocess.run(["git", "-C", origin, *words], check=True, capture_output=True)
+    git.clone(f"file://{origin}", f"{folder}/clone")
+    commits = subprocess.run(["git", "-C", f"{folder}/clone", "rev-list", "--count", "HEAD"], check=True, capture_output=True, text=True).stdout
+    register(spark)
+    x = spark.read.format("repotree").option("path", f"{folder}/clone").load()
+    return x.select("path", "kind", "size", F.lit(int(commits)).alias("commits"))
+
+
 QUERIES: dict[str, Query] = {
-    "api_answers": api_answers, "tree_scan": tree_scan, "tree_counts": tree_counts, "tree_decode": tree_decode,
+    "summary_prompt": summary_prompt, "generated": generated, "clone_scan": clone_scan, "api_answers": api_answers, "tree_scan": tree_scan, "tree_counts": tree_counts, "tree_decode": tree_decode,
     "index_chunks": _of(index_chunks), "index_chunk_counts": _of(lambda s: s.counts()), "index_chunk_order": index_chunk_order, "index_reports": _of(index_reports), "index_technologies": _of(index_technologies), "index_directory_json": _of(index_directory_json),
     "index_graph_files": _graph(lambda g: g.files), "index_graph_imports": _graph(lambda g: g.imports), "index_graph_uses": _graph(lambda g: g.uses), "index_graph_stats": _graph(graph.stats),
-    "store_ids": _of(_is_new), "store_lookup": store_lookup, "store_replace": store_replace, "store_delete": store_delete, "store_vacuum": store_vacuum, "store_reports": store_reports, "ask_answers": ask_answers, "ask_prompt": ask_prompt,
+    "store_ids": _of(_is_new), "store_lookup": store_lookup, "store_replace": store_replace, "store_delete": store_delete, "store_graph": store_graph, "store_vacuum": store_vacuum, "store_reports": store_reports, "ask_answers": ask_answers, "ask_prompt": ask_prompt,
 }
 
 
@@ -341,6 +418,10 @@ SQL: dict[str, str] = {
     "index_graph_imports": f"WITH {_FILES}, {_GRAPH} SELECT repo, source, target FROM ge",
     "index_graph_uses": f"WITH {_FILES}, {_GRAPH} SELECT repo, source, target FROM gu",
     "index_graph_stats": f"WITH {_FILES}, {_GRAPH} SELECT repo, count(*) AS file_nodes, count(DISTINCT module) AS module_nodes, count(*) FILTER (is_service) AS service_nodes, (SELECT count(*) FROM ge WHERE ge.repo = gf.repo) AS file_import_relationships, (SELECT count(*) FROM gu WHERE gu.repo = gf.repo) AS module_use_relationships FROM gf GROUP BY repo",
+    "summary_prompt": f"""WITH {_FILES}, {_TOP}, n AS ({_COUNTS}) SELECT 'https://example.org/a.git' AS repo_url, file_count, directory_count, {len(_TECHNOLOGIES)} AS technologies, (SELECT array_to_string(list(name ORDER BY o, lower(name), name)[:30], ',') FROM top WHERE repo = 'a') AS top,
+ (SELECT array_to_string(list(name ORDER BY lower(name), name)[:20], ',') FROM f WHERE repo = 'a' AND dirs = ['.github']) AS children, 's' AS summary, 2 AS steps, true AS shapeless FROM n WHERE repo = 'a'""",
+    "generated": "SELECT * FROM (VALUES ('ollama', 'fine', NULL), ('ollama_other', 'fine', NULL), ('ollama_none', NULL, 'GeneratorError'), ('ollama_no_json', NULL, 'GeneratorError'), ('ollama_blank', NULL, 'GeneratorError'), ('blank_prompt', NULL, 'GeneratorError'), ('openai', 'well', NULL), ('openai_none', NULL, 'GeneratorError'), ('openai_no_key', NULL, 'GeneratorError'), ('made_ollama', 'Ollama', NULL), ('made_openai', 'OpenAI', NULL), ('made_other', NULL, 'ValueError')) t(request, reply, error)",
+    "clone_scan": "SELECT * FROM (VALUES ('src', 'directory', NULL, 1), ('src/a.py', 'file', CAST(8 AS BIGINT), 1)) t(path, kind, size, commits)",
     "api_answers": f"""WITH {_FILES}, {_GRAPH} SELECT request, status, told FROM (VALUES ('health', 200, 'x'), ('generated', 200, 'nobody'), ('short', 422, NULL), ('unknown', 400, NULL), ('no_json', 422, NULL), ('no_url', 422, NULL), ('no_route', 404, NULL), ('no_method', 405, NULL)) t(request, status, told)
 UNION ALL SELECT 'count', 200, 'The repository contains ' || count(*) || ' files.' FROM gf WHERE repo = 'a'""",
     "store_ids": "SELECT repo, true AS uuid4, true AS fresh, true AS ordered FROM (VALUES ('a'), ('b')) t(repo)",

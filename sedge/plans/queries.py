@@ -239,6 +239,8 @@ _ROUTE = """CASE WHEN contains(q, 'how many files') THEN 'file_count' WHEN conta
  WHEN contains(q, 'central') OR contains(q, 'imported the most') THEN 'central' ELSE 'llm' END"""
 _CENTRAL = "SELECT target AS file, count(*) AS imports FROM imports GROUP BY target ORDER BY imports DESC, file LIMIT {}"
 
+_STATS = "SELECT (SELECT count(*) FROM files) AS file_nodes, (SELECT count(DISTINCT module) FROM files) AS module_nodes, (SELECT count(*) FROM files WHERE contains(name, 'service') OR contains('/' || lower(path), '/services/')) AS service_nodes, (SELECT count(*) FROM imports) AS file_import_relationships, (SELECT count(*) FROM uses) AS module_use_relationships"
+
 SQL: dict[str, str] = {
     "chunk_lines_100_20": fx.chunk_sql(100, 20),
     "chunk_lines_10_2": fx.chunk_sql(10, 2),
@@ -246,7 +248,7 @@ SQL: dict[str, str] = {
     "vector_topk": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_topk_numpy": f"SELECT e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_topk_per_query": f"SELECT query_id, vec_id, similarity, CAST(row_number() OVER w AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= 2",
-    "graph_stats": _GRAPH + "SELECT (SELECT count(*) FROM files) AS file_nodes, (SELECT count(DISTINCT module) FROM files) AS module_nodes, (SELECT count(*) FROM files WHERE contains(name, 'service') OR contains('/' || lower(path), '/services/')) AS service_nodes, (SELECT count(*) FROM imports) AS file_import_relationships, (SELECT count(*) FROM uses) AS module_use_relationships",
+    "graph_stats": _GRAPH + _STATS,
     "graph_file_count": "SELECT count(*) AS files FROM part",
     "graph_module_count": "SELECT count(DISTINCT p_brand) AS modules FROM part",
     "graph_file_paths": f"WITH {_FILES} SELECT path FROM files",
@@ -312,6 +314,7 @@ SELECT DISTINCT 'm/' || p_partkey || '.ts' AS source, arg_min(path, o) AS target
 best AS (SELECT k, row_number() OVER (ORDER BY round(similarity, 9) DESC, k.f, k.i) AS r FROM sim QUALIFY r <= 2), w AS (SELECT string_agg('File: ' || k.f || chr(10) || k.content, chr(10) || chr(10) ORDER BY r) AS w FROM best)
 SELECT 1 AS question_id, CASE WHEN length(w) > 12000 THEN w[:12000] || chr(10) || '[...retrieved context truncated...]' ELSE w END AS context FROM w""",
     **indexed.SQL,
+    "store_graph": _GRAPH + _STATS,
     "graph_upsert": "SELECT c_custkey + 50 AS c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey + 50 FROM customer)",
     "repo_upsert": "SELECT s_suppkey AS key, s_name AS name FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)",
 }

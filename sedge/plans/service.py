@@ -36,10 +36,8 @@ def index_trees(spark: SparkSession, store: Store, trees: dict[str, str], make:
     tree = spark.read.parquet(scan)
     g = graph.build(tree)
     chunks = embedding.embed(chunking.chunk_files(tree), make=make)
-    store.replace(run, {"chunks": chunks, "graph_files": g.files, "graph_imports": g.imports})
-    # Module edges follow from the written edges, which spares the import branch a second run.
-    written = [spark.read.parquet(f"{store.root}/{t}").where(F.col("run") == run) if store._exists(f"{store.root}/{t}") else spark.createDataFrame([], s) for t, s in (("graph_imports", "repository_id string, source string, target string"), ("graph_files", g.files.schema))]
-    store.replace(run, {"graph_uses": graph.module_uses(*written)})
+    store.replace(run, {"chunks": chunks})
+    store.store_graph(run, g)
     store.append_reports(metadata.reports(tree))
     store.commit(run, [ids[u] for u in trees])
     p = spark._jvm.org.apache.hadoop.fs.Path(scan)

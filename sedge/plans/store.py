@@ -11,12 +11,13 @@ import datetime as dt
 import uuid
 from urllib.parse import unquote
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..errors import AskError
+from ..errors import AskError, GraphError
 from ..operators import graph
 
 
@@ -121,6 +122,23 @@ class Store:
         for name, df in tables.items():
             df.select(*schemas.TABLES[name].names).withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id", "run").parquet(f"{self.root}/{name}")
 
+    def store_graph(self, run: str, g: graph.Graph) -> DataFrame:
+        """Write a run's graph; its counts by repository, from what was written (SNK-6, SNK-7).
+
+        Module edges follow from the written edges, which spares the import branch a second run.
+        """
+
+        def written(name: str) -> DataFrame:
+            stored = T.StructType([*schemas.TABLES[name].fields, T.StructField("run", T.StringType())])
+            return self.read(name, stored).where(F.col("run") == run).drop("run")
+
+        try:
+            self.replace(run, {"graph_files": g.files, "graph_imports": g.imports})
+            self.replace(run, {"graph_uses": graph.module_uses(written("graph_imports"), written("graph_files"))})
+        except (PySparkException, OSError) as e:
+            raise GraphError(f"The graph can't be written: {e}") from e
+        return graph.stats(graph.Graph(*map(written, ("graph_files", "graph_imports", "graph_uses"))))
+
     def commit(self, run: str, repository_ids: list[str]) -> None:
         rows = [(r, run, now()) for r in repository_ids]
         self.spark.createDataFrame(rows, schemas.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
