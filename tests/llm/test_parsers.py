@@ -11,28 +11,52 @@ from sedge.llm import passages, recompression, suffix_dedup
 
 from . import brute
 
-PARSERS = {"bytes": (suffix_dedup, lambda t: list(t.encode()), (1 << 20, 50, 300)), "words": (recompression, brute.WORD.findall, (1 << 18, 7, 90))}
+
+
+def byte_rows(texts, rng, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", rng.choice((1 << 20, 50, 300)))
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    return suffix_dedup.parse(batch), list(range(len(texts)))
+
+
+def word_rows(texts, rng, monkeypatch):
+    """Pieces of the texts as stretches, their symbols after all rounds."""
+    pieces = [(d, *piece) for d, t in enumerate(texts) for piece in recompression.cut_long(t.encode(), rng.choice((1 << 18, 60, 400)))]
+    data = pa.array([raw for _, _, raw in pieces], pa.binary())
+    _, names, row, _, _ = recompression._hashed(data)
+    sizes, kept = np.ones(len(names), np.uint8), {}
+    for r in range(recompression.LEVELS + 1):
+        names, sizes, row = recompression.renamed(names, sizes, row, r)
+        if r == recompression.CORE:
+            kept = {"core": recompression._packed(names, row, len(pieces)), "core_sizes": recompression._packed(sizes, row, len(pieces))}
+    kept |= {"names": recompression._packed(names, row, len(pieces)), "sizes": recompression._packed(sizes, row, len(pieces))}
+    batch = pa.RecordBatch.from_pydict({"doc": [d for d, _, _ in pieces], "first": [n for _, n, _ in pieces], "text": data, **kept})
+    look_everywhere = np.full(1 << 13, 255, np.uint8)
+    return [recompression._parse(batch, look_everywhere)], [d for d, _, _ in pieces]
+
+
+PARSERS = {"bytes": (suffix_dedup, lambda t: list(t.encode()), byte_rows), "words": (recompression, brute.WORD.findall, word_rows)}
 
 
 @pytest.mark.parametrize("kind", PARSERS)
 def test_windows_of_phrases(kind, monkeypatch):
-    module, units, stretches = PARSERS[kind]
+    module, units, rows = PARSERS[kind]
     for seed in range(40):
         rng = random.Random(seed)
-        monkeypatch.setattr(module, "STRETCH", rng.choice(stretches))
         pool = ["".join(rng.choice("ab ") for _ in range(rng.randrange(50, 200))) for _ in range(5)]
         texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 5))) for _ in range(rng.choice([1, 6]))]
+        parsed, of = rows(texts, rng, monkeypatch)
         names, places = {}, set()
-        for p, finer, contents in module.parse(pa.array(texts)):
+        for p, finer, contents in parsed:
             if not len(p.row):
                 continue
             for q in (p, finer(np.arange(len(p.row)))):
                 parts = contents(q.a, q.b, q.row)
-                own, place, f = module.alike(parts)
+                own, place, f = module.prints(parts)
                 assert Counter(own.tolist()) == Counter(dict(enumerate((q.b - q.a + 1).tolist())))
                 assert q is p or (q.b - q.a < module.WIDTH).all()
                 for i, s, h in zip(own.tolist(), place.tolist(), f.tolist(), strict=True):
-                    r, start = int(q.row[i]), int(q.a[i]) + s
+                    r, start = of[int(q.row[i])], int(q.a[i]) + s
                     window = tuple(units(texts[r])[start : start + module.SIZE])
                     assert window == tuple(units(bytes(parts[i]).decode())[s : s + module.SIZE])
                     assert names.setdefault((q is p, window), (int(q.g[i]), h)) == (int(q.g[i]), h)
@@ -46,6 +70,24 @@ def test_windows_of_phrases(kind, monkeypatch):
         assert len(set(names.values())) == len(names)
 
 
+@pytest.mark.parametrize("sort", [suffix_dedup.by_suffix, recompression.by_print])
+def test_sorted_windows(sort):
+    """Classes of equal windows, and an order by class in which equal windows stand as they came."""
+    rng = random.Random(2)
+    pool = [" ".join(rng.choice(["a", "bb", "c"]) for _ in range(60)) for _ in range(4)]
+    parts = [(rng.choice(pool) + " " + rng.choice(pool))[rng.randrange(4) * 2 :].encode() for _ in range(25)] + [b"", b"short"]
+    own, at, names, order = sort(parts)
+    unit = [list(p) if sort is suffix_dedup.by_suffix else p.split() for p in parts]
+    size = suffix_dedup.SIZE if sort is suffix_dedup.by_suffix else recompression.SIZE
+    windows = [tuple(unit[i][s : s + size]) for i, s in zip(own.tolist(), at.tolist(), strict=True)]
+    assert len(windows) == sum(max(0, len(u) - size + 1) for u in unit) and len(set(zip(windows, names.tolist(), strict=True))) == len(set(windows)) == len(set(names.tolist()))
+    assert sorted(order.tolist()) == list(range(len(windows)))
+    for i, j in zip(order.tolist(), order.tolist()[1:], strict=False):
+        assert names[i] < names[j] or (names[i] == names[j] and i < j)
+        if sort is suffix_dedup.by_suffix:
+            assert windows[i] <= windows[j]
+
+
 def test_merged_spans_cover_the_same():
     for seed in range(50):
         rng = np.random.default_rng(seed)
