@@ -40,6 +40,8 @@ SIZE, CORE, LEVELS, RUN, MARGIN, WIDTH, GRAM = 35, 3, 6, 3, 10, 5, 18
 _K = np.uint64(0xD6E8FEB86659FD93)
 #: A position within the words or symbols worked on at once, which are fewer.
 _LOW = np.uint64((1 << 24) - 1)
+#: What a task has named is made distinct about so many at a time.
+_NAMED = 1 << 19
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -191,12 +193,23 @@ def renamed(names: np.ndarray, size: np.ndarray, row: np.ndarray, r: int, seed:
 def registry(state: DataFrame, r: int, seed: int = 0) -> DataFrame:
     """name, left, right, n of all that round r names, once each, over all sequences."""
 
+    def once(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        name, left, right = map(np.concatenate, zip(*parts, strict=True))
+        name, at, n = np.unique(name, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_pydict({"name": name.view(np.int64), "left": left[at].view(np.int64), "right": right[at].view(np.int64), "n": n})
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total = [], 0
         for b in batches:
             (names, row), (size, _) = _values(b.column("names"), np.uint64), _values(b.column("sizes"), np.uint8)
             first, _, name, other = joins(names, size, row, r, seed)
-            name, at, n = np.unique(name, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"name": name.view(np.int64), "left": names[first[at]].view(np.int64), "right": other[at].view(np.int64), "n": n})
+            parts.append((name, names[first], other))
+            total += len(name)
+            if total >= _NAMED:
+                yield once(parts)
+                parts, total = [], 0
+        if total:
+            yield once(parts)
 
     found = state.select("names", "sizes").mapInArrow(common.frugal(made), "name long, left long, right long, n long")
     return found.groupBy("name").agg(F.min("left").alias("left"), F.max("left").alias("_left"), F.min("right").alias("right"), F.max("right").alias("_right"), F.sum("n").alias("n"))
