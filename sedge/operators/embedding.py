@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -34,13 +35,13 @@ class HashingEmbedder:
 
     def _cell(self, word: str) -> int:
         """Twice the cell, and 1 for a positive sign."""
-        h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        h = int(hashlib.md5(word.translate(self._LOWER).encode(), usedforsecurity=False).hexdigest()[:8], 16)
         return (h >> 1) % self.dims * 2 + (h & 1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = [[w.translate(self._LOWER) for w in self._word.findall(t)] for t in texts]
+        found = [self._word.findall(t) for t in texts]
         cells = {w: self._cell(w) for w in set().union(*found)} if found else {}
-        cell = np.fromiter((cells[w] for f in found for w in f), np.int64)
+        cell = np.fromiter(map(cells.__getitem__, chain.from_iterable(found)), np.int64)
         row = np.repeat(np.arange(len(texts)), [len(f) for f in found]) if found else np.zeros(0, np.int64)
         v = np.bincount(row * self.dims + (cell >> 1), weights=np.where(cell & 1, 1.0, -1.0), minlength=len(texts) * self.dims).reshape(len(texts), self.dims)
         n = np.linalg.norm(v, axis=1, keepdims=True)

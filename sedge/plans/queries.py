@@ -72,7 +72,7 @@ def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents, embedded, the two nearest to a question, as a prompt's context."""
     x = embedding.embed(chunking.chunk_lines(fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")))
     q = embedding.HashingEmbedder().encode([fx.QUESTION])[0]
-    best = retrieval.top_k(x, q, 2, digits=9).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "file_path", "chunk_index")))
+    best = retrieval.top_k(x, q, 2, digits=9, numpy=True).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "file_path", "chunk_index")))
     return prompts.context(x.join(F.broadcast(best), ["file_path", "chunk_index"]).withColumn("question_id", F.lit(1)), ["question_id"])
 
 
