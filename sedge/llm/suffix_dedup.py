@@ -129,9 +129,10 @@ def _phrases(data: np.ndarray, row: np.ndarray, off: np.ndarray, at: np.ndarray)
         return _hash(at8, start + back[of], size, seed)
 
     def contents(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()  # not a view: pyarrow never lets go of a view that it made a binary value of, nor of all its bytes
         return [raw[i:j] for i, j in zip((a + back[of]).tolist(), (b + SIZE + back[of]).tolist(), strict=True)]
 
-    raw, phrases = data.data, Phrases(row[own], a + shift, b + shift, x[t], c)
+    phrases = Phrases(row[own], a + shift, b + shift, x[t], c)
     return phrases, lambda k: finer(k, phrases, t + shift, SIZE, WIDTH, read), contents
 
 

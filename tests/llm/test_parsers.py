@@ -1,6 +1,8 @@
 """What passages.py asks of a parser, at random: each window in one phrase, equal windows and no others alike."""
 
+import gc
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -99,3 +101,24 @@ def test_merged_spans_cover_the_same():
         cover = lambda r, x, y: {(k, i) for k, s, e in zip(r, x, y, strict=True) for i in range(s, e + 10)}
         merged = passages.merge_spans(row, a, b, 10)
         assert cover(*merged) == cover(row, a, b) and len(merged[0]) < 30
+
+
+def test_contents_of_bytes_let_go_of_texts():
+    """Members of op2 are made into Arrow columns; the texts that they were cut from go afterwards."""
+    rng = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": ["".join(rng.choices("abcdef ", k=300_000))]})
+
+    def work():
+        for p, _, contents in suffix_dedup.parse(batch):
+            assert pa.array(contents(p.a, p.b, p.row), pa.binary()).null_count == 0
+        gc.collect()
+
+    work()
+    tracemalloc.start()
+    try:
+        work()
+        before = tracemalloc.get_traced_memory()[0]
+        work()
+        assert tracemalloc.get_traced_memory()[0] - before < 100_000
+    finally:
+        tracemalloc.stop()
