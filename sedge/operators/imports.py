@@ -43,22 +43,30 @@ def js_base(source: Column, target: Column) -> Column:
     return F.when(target.startswith("."), paths.normalised(F.concat_ws("/", F.array_join(_directory(source), "/"), target)))
 
 
-def candidates(base: Column, suffixes: tuple[str, ...]) -> Column:
-    """Paths that a base may mean, in order; only itself if its last segment has an extension."""
-    name = paths.basename(base)
-    inside = F.when(base == "", F.lit("")).otherwise(F.concat(base, F.lit("/")))
-    tried = F.array(*(F.concat(base, F.lit(s)) for s in suffixes), *(F.concat(inside, F.lit(f"index{s}")) for s in suffixes), F.concat(inside, F.lit("__init__.py")))
-    return F.when(base.isNull(), F.array().cast("array<string>")).when(paths.suffix(name) != "", F.array(base)).otherwise(tried)
+def meanings(path: Column) -> Column:
+    """array(struct(how, base, k)): what an import's base must be, under `py` or `js`, to mean this file, and in which place of
+    the order it is tried. A base whose last segment has an extension means just the file of that path (`exact`)."""
+
+    def cut(name: str, ahead: str) -> Column:
+        return F.when(path.endswith(ahead + name) & (F.length(path) > len(ahead + name)) | (path == name), F.substring(path, F.lit(1), F.greatest(F.length(path) - len(ahead + name), F.lit(0))))
+
+    found = [F.struct(F.lit("exact").alias("how"), path.alias("base"), F.lit(0).alias("k"))]
+    for how, suffixes in (("py", PY_SUFFIXES), ("js", JS_SUFFIXES)):
+        tried = [(s, "") for s in suffixes] + [(f"index{s}", "/") for s in suffixes] + [("__init__.py", "/")]
+        found += [F.struct(F.lit(how).alias("how"), cut(name, ahead).alias("base"), F.lit(k).alias("k")) for k, (name, ahead) in enumerate(tried)]
+    return F.filter(F.array(*found), lambda m: m["base"].isNotNull())
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """repository_id, source, target (a file's path): distinct edges, self-imports dropped.
 
-    Each import's candidates are looked up at once by an equi join (SET-4); the least position that exists wins.
+    The file that a base means, the first of those that are tried, is worked out once for all imports; each import then is one
+    row of an equi join (SET-4). Sizes of exploded rows are estimated far too low, so neither side may be broadcast by them.
     """
     is_py = F.col("lang") == "py"
-    cand = F.when(is_py, candidates(python_base(F.col("source"), F.col("target")), PY_SUFFIXES)).otherwise(candidates(js_base(F.col("source"), F.col("target")), JS_SUFFIXES))
-    tries = imports.dropDuplicates(["repository_id", "source", "lang", "target"]).select("repository_id", "source", "lang", F.col("target").alias("_i"), F.posexplode(cand).alias("_k", "path"))
-    hit = tries.join(files.select("repository_id", "path").distinct(), ["repository_id", "path"])
-    best = hit.groupBy("repository_id", "source", "lang", "_i").agg(F.min_by("path", "_k").alias("target"))
-    return best.where(F.col("target") != F.col("source")).select("repository_id", "source", "target").distinct()
+    base = F.when(is_py, python_base(F.col("source"), F.col("target"))).otherwise(js_base(F.col("source"), F.col("target")))
+    asked = imports.select("repository_id", "source", F.when(is_py, "py").otherwise("js").alias("_lang"), base.alias("base")).where("base is not null")
+    asked = asked.select("repository_id", "source", "base", F.when(paths.suffix(paths.basename(F.col("base"))) != "", "exact").otherwise(F.col("_lang")).alias("how"))
+    meant = files.select("repository_id", "path", F.explode(meanings(F.col("path"))).alias("_m")).select("repository_id", "path", "_m.*")
+    meant = meant.groupBy("repository_id", "how", "base").agg(F.min_by("path", "k").alias("target"))
+    return asked.join(meant.hint("merge"), ["repository_id", "how", "base"]).where("target <> source").select("repository_id", "source", "target").distinct()

@@ -82,6 +82,20 @@ def test_top_k_and_edges_plan_as_wanted(spark):
     assert "Cartesian" not in "".join(plan(n) for n in ("graph_stats", "graph_module_uses", "import_resolve_priority"))
 
 
+def test_imports_are_one_row_each_and_not_broadcast(spark):
+    """Sizes of exploded rows are estimated far too low; by them millions of candidate paths had been sent to the driver."""
+    from sedge.operators import imports
+
+    plan = core.QUERIES["import_resolve_priority"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    paths = ["index.ts", "x.ts", "x/index.js", "x/__init__.py", "a/x.js", "a/x.jsx", "a/b.c.ts", "a/b.c", "a/.ts", "a/index.py", "__init__.py"]
+    files = spark.createDataFrame([("r", p) for p in paths], "repository_id string, path string")
+    asked = [("js", "../", "index.ts"), ("js", "../x", "x.ts"), ("js", "./x", "a/x.js"), ("js", "./b.c", "a/b.c"), ("js", "./x.jsx", "a/x.jsx"), ("js", "x", None), ("js", "../../x", None), ("py", "x", "x/__init__.py"), ("py", ".", "a/index.py"), ("py", "..", "__init__.py")]
+    for lang, target, want in asked:
+        got = imports.resolve(spark.createDataFrame([("r", "a/me.ts", lang, target)], "repository_id string, source string, lang string, target string"), files).collect()
+        assert [tuple(r) for r in got] == ([("r", "a/me.ts", want)] if want else []), (lang, target)
+
+
 def test_top_k_per_query_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, core.QUERIES["vector_topk_per_query"](spark, DATA).collect()))
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
