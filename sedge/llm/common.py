@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, bound_batches  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only if it has at most so many rows (of a few longs each).
 BROADCAST_ROWS = 1_000_000
@@ -44,16 +46,6 @@ def scratch_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
-BATCH_BYTES, _BATCH = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of the session have some 4 MB, as texts may be long; a smaller setting stays."""
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -3,11 +3,13 @@
 import io
 import json
 import os
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedge import config, errors
+from sedge.functions import vector
 from sedge.operators import chunking, embedding, generators, graph, metadata, prompts, retrieval, routing
 from sedge.plans import fixtures as fx
 from sedge.plans import service
@@ -162,6 +164,29 @@ def test_embedder_is_stable():
     assert a.tolist() == e.encode(["some words here"])[0].tolist() and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b)
 
 
+def test_embedder_counts_in_parts():
+    """Texts cut into small parts give the same vectors; memory doesn't grow with the texts."""
+    texts = ["camelCase and someWords12 é漢x", "", "A" * 30 + "b" * 70 + "9" * 50, "é" * 90 + ".x"] * 20
+    whole, parts = embedding.HashingEmbedder(), embedding.HashingEmbedder()
+    parts.PART, parts.KEPT = 5, 300
+    assert all((a == b).all() for a, b in zip(whole.encode(texts), parts.encode(texts), strict=True)) and parts.encode([]) == []
+    tracemalloc.start()
+    whole.encode(["ab cd " * 50_000] * 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_embed_and_score_in_slices(spark):
+    rows = [(i, None if i % 3 == 0 else f"word{i} and {i}" if i % 3 == 1 else "") for i in range(40)]
+    x = embedding.embed(spark.createDataFrame(rows, "i int, content string"), make=lambda: embedding.HashingEmbedder(8))
+    got = {r["i"]: r for r in x.withColumn("s", vector.scorer([1.0] * 8)("embedding")).collect()}
+    for i, text in rows:
+        want = None if text is None else embedding.HashingEmbedder(8).encode([text])[0].tolist()
+        assert got[i]["embedding"] == want and (got[i]["s"] is None) == (want is None)
+        assert want is None or abs(got[i]["s"] - sum(want) / 8**0.5) < 1e-12
+
+
 def test_context_is_cut(spark):
     df = spark.createDataFrame([(1, 2, "b", "y" * 50), (1, 1, "a", "x")], "q int, rank int, file_path string, content string")
     assert prompts.context(df, ["q"]).first()["context"] == "File: a\nx\n\nFile: b\n" + "y" * 50
