@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,14 +41,19 @@ def scorer(query: Sequence[float]):  # noqa: ANN201
     q = np.asarray(query, np.float64)
     qn = float(np.linalg.norm(q))
 
-    @F.pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        ok = v.notna().to_numpy()
+    @F.arrow_udf("double")
+    def score(v: pa.Array) -> pa.Array:
         out = np.full(len(v), np.nan)
-        if ok.any():
-            m = np.stack(v[ok].to_list()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1) * qn
-            out[ok] = np.divide(m @ q, n, out=np.zeros(len(m)), where=n > 0)
-        return pd.Series(out).where(pd.Series(ok), None)
+        for at in range(0, len(v), 512):
+            part = v.slice(at, 512)
+            ok, part = part.is_valid().to_numpy(zero_copy_only=False), part.drop_null()
+            sizes = np.unique(pc.list_value_length(part).to_numpy(zero_copy_only=False))
+            if len(sizes) > 1:
+                raise ValueError("vectors differ in size")
+            if len(sizes):
+                m = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), int(sizes[0]))
+                n = np.linalg.norm(m, axis=1) * qn
+                out[at : at + 512][ok] = np.divide(m @ q, n, out=np.zeros(len(m)), where=n > 0)
+        return pa.array(out, from_pandas=True)
 
     return score
