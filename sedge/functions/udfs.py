@@ -42,6 +42,15 @@ def pyproject(text: Column | str) -> Column:
     return F.pandas_udf(run, "dependencies string, backend string")(text)
 
 
+def json_entry(path: Column | str, kind: Column | str) -> Column:
+    """struct(place, head)."""
+
+    def run(paths: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rowwise.json_entry(p, k) for p, k in zip(paths, kinds, strict=True)], columns=["place", "head"])
+
+    return F.pandas_udf(run, "place string, head string")(path, kind)
+
+
 def parse_answer(reply: Column | str) -> Column:
     """struct(result, error)."""
 

@@ -39,7 +39,7 @@ def combined(system: str, user: str) -> str:
 
 
 def summary_prompt(url: str, report: dict, tree: list[dict]) -> str:
-    """report: a row of metadata.reports as a dict; tree: metadata.nested()."""
+    """report: a row of metadata.reports as a dict; tree: what metadata.directory_json tells."""
     from .metadata import shortened
 
     return json.dumps({"repo_url": url, "file_count": report["file_count"], "directory_count": report["directory_count"], "technologies": report["technologies"], "top_level_structure": [shortened(e) for e in tree[:30]], "required_json_shape": SUMMARY_SHAPE}, indent=2)

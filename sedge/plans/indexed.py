@@ -26,7 +26,7 @@ from ..config import Settings
 from ..errors import SedgeError, SummaryError
 from ..functions import paths
 from ..operators import chunking, generators, graph, metadata
-from ..session import register
+from ..session import bound_batches, register
 from ..sources import git
 from . import fixtures as fx
 from . import http, service
@@ -76,6 +76,7 @@ def write_trees(spark: SparkSession, d: str, root: str) -> dict[str, str]:
                     f.write(content)
             yield pd.DataFrame({"n": [len(b)]})
 
+    bound_batches(spark)
     files(spark, d).select("repo", "path", "content").mapInPandas(put, "n long").agg(F.sum("n")).collect()
     for repo in "ab":
         for path, code in _EXTRA.items():

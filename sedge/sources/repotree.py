@@ -14,11 +14,17 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from ..functions.paths import IGNORED_ALWAYS
 from ..schemas import TREE
 
+#: Bounds of an Arrow batch that a partition gives.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 22
+
 
 class _Part(InputPartition):
     def __init__(self, repository_id: str, root: str, entry: str):
@@ -62,7 +68,23 @@ class _Reader(DataSourceReader):
                     out.append(_Part(repository_id, root, name))
         return out or [_Part("", "", "")]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        """Batches of some BATCH_BYTES of contents or BATCH_ROWS rows; a list of rows would hold 10,000 files."""
+        rows, size = [], 0
+        for row in self._rows(part):
+            rows.append(row)
+            size += len(row[-1] or b"")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield self._batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        schema = to_arrow_schema(TREE)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def _rows(self, part: _Part) -> Iterator[tuple]:
         if not part.root:
             return
         top = os.path.join(part.root, part.entry)

@@ -14,6 +14,7 @@ from sedge.operators import chunking, embedding, generators, graph, metadata, pr
 from sedge.plans import fixtures as fx
 from sedge.plans import service
 from sedge.plans.store import Store, latest
+from sedge.sources import repotree
 
 GOOD = '{"answer": "yes", "confidence": "low", "sources": ["backend/api.py"], "graph_context_used": false}'
 
@@ -82,6 +83,31 @@ def test_tree_json(tree):
     assert len(deep["children"]) == 20
 
 
+def test_tree_json_in_blocks(spark, monkeypatch):
+    """The text is what json.dumps gives of the nested lists, in whatever blocks it is joined; Python sees single rows."""
+    paths = ["b/", "b/z.py", "b/Z.py", "b/c/", "b/c/\"q\".py", "ab/", "a/", "a/é/", "a/é/x", "A.py", "a.py", "a b.py", "a!"]
+    rows = [("r", p.rstrip("/"), p.rstrip("/").split("/")[-1], p.rstrip("/").split("/")[:-1], "directory" if p.endswith("/") else "file") for p in paths]
+    df = spark.createDataFrame(rows, "repository_id string, path string, name string, dir_parts array<string>, kind string")
+
+    def at(above):
+        own = sorted((r for r in rows if r[3] == above), key=lambda r: (r[4] == "file", r[2].lower(), r[2]))
+        return [{"name": r[2], "path": r[1], "kind": r[4], "children": at([*above, r[2]])} for r in own]
+
+    for block in (10_000, 3):
+        monkeypatch.setattr(metadata, "BLOCK", block)
+        assert metadata.directory_json(df).first()["directory_structure"] == json.dumps(at([]))
+
+
+def test_scan_gives_bounded_batches(tmp_path, monkeypatch):
+    write(str(tmp_path), {f"d/{i}.md": "x" * 100 for i in range(20)})
+    monkeypatch.setattr(repotree, "BATCH_BYTES", 300)
+    reader = repotree._Reader({"path": str(tmp_path)})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == 21 and max(b.num_rows for b in batches) <= 4
+    monkeypatch.setattr(repotree, "BATCH_ROWS", 2)
+    assert max(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+
+
 def test_technologies(tree):
     got = {(r["name"], r["source"]) for r in metadata.technologies(metadata.manifests(tree)).collect()}
     assert got == {("Node.js", "package.json"), ("React", "package.json"), ("Python", "requirements.txt"), ("Flask", "requirements.txt"), ("Python", "pyproject.toml")}
